@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keepwell.llm import common, mixing, neardup, pii, quality_rules, token_counts
+from keepwell.llm import common, lm_scoring, mixing, neardup, pii, quality_rules, token_counts
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op3(common.documents(spark, sf_dir))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(common.documents(spark, sf_dir))
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.op5(common.documents(spark, sf_dir))
 
@@ -33,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pii": op2_pii,
         "op3_quality_rules": op3_quality_rules,
+        "op4_lm_scoring": op4_lm_scoring,
         "op5_neardup": op5_neardup,
         "op8_token_counts": op8_token_counts,
         "op9_mixing": op9_mixing,
