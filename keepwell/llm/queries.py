@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keepwell.llm import common, lm_scoring, mixing, neardup, pii, quality_rules, token_counts
+from keepwell.llm import common, language_id, lm_scoring, mixing, neardup, pii, quality_classifier, quality_rules, token_counts
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,14 +37,20 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op9(common.documents(spark, sf_dir))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(common.documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op2_pii": op2_pii,
         "op3_quality_rules": op3_quality_rules,
         "op4_lm_scoring": op4_lm_scoring,
         "op5_neardup": op5_neardup,
         "op8_token_counts": op8_token_counts,
         "op9_mixing": op9_mixing,
+        "op10_language_id": op10_language_id,
     }
 
 
