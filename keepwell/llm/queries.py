@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keepwell.llm import common, language_id, lm_scoring, media, mixing, neardup, pii, quality_classifier, quality_rules, token_counts
+from keepwell.llm import common, language_id, lm_scoring, media, mixing, neardup, piece_codec, pii, quality_classifier, quality_rules, token_counts
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.op6(common.documents(spark, sf_dir))
 
 
+def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.op7(common.documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_lm_scoring": op4_lm_scoring,
         "op5_neardup": op5_neardup,
         "op6_media": op6_media,
+        "op7_piece_codec": op7_piece_codec,
         "op8_token_counts": op8_token_counts,
         "op9_mixing": op9_mixing,
         "op10_language_id": op10_language_id,
