@@ -51,8 +51,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for each row of ``docs``.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken and the columns ``carry`` for each row of ``docs``.
 
     ``docs`` has doc_id, text and source; other columns are ignored.  A null or
     empty text has size 0 and takes nothing; null sources form one source, the
@@ -61,7 +61,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     immaterial.  An empty table gives an empty result.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
-    base = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key")))
+    base = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), *carry))
     base = base.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
 
     buckets = base.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
         base.join(known, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
         .withColumn("cum", F.col("before") + F.sum("size").over(inside))
         .withColumn("n", F.when(F.col("size") > 0, F.size(F.filter(passes, lambda e: (e * F.col("source_size") + F.col("cum")) / F.col("weight") <= F.col("level")))).otherwise(0))
-        .select("doc_id", "source", "size", "key", "cum", "source_size", "weight", "budget", "level", "target", "n")
+        .select("doc_id", "source", "size", "key", "cum", "source_size", "weight", "budget", "level", "target", "n", *carry)
     )
     rows = stored(rows)
 
@@ -100,10 +100,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     return (
         rows.join(margin, F.col("source").eqNullSafe(F.col("m_source")) & (F.col("cum") == F.col("m_cum")) & (F.col("size") > 0), "left")
         .withColumn("copies", (F.col("n") + F.coalesce(F.col("more"), F.lit(0))).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *carry)
     )
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, source, n_chars), each as often as the mix takes it.
+
+    Rows with the same doc_id, text and source count as copies of one row: it is
+    returned as often as all of them are taken together.
+    """
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    parts = [x for c in ("doc_id", "source", "text") for x in (F.col(c).isNull().cast("string"), F.coalesce(F.col(c).cast("string"), F.lit("")))]
+    keyed = docs.select(*names, F.sha2(F.concat_ws("\x1f", *parts), 256).alias("row_key"))
+    copies = mix(keyed, carry=("row_key",)).groupBy("row_key").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    rows = keyed.groupBy("row_key").agg(F.min(F.struct(*names)).alias("row"))
+    return rows.join(copies, "row_key").select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*names)
+
+
 ORACLE = r"""
 WITH base AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,

@@ -85,7 +85,7 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep``, grp (language and source), the five counts and the vector, one row for each of ``docs``."""
     names = dict.fromkeys([*keep, "text", "lang", "source"])
-    kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    kept = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches):
         for b in batches:
@@ -97,7 +97,7 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
             cols = [*[b.column(c) for c in keep], pa.array(grp, pa.string()), *[pa.array(ns[:, i]) for i in range(len(COUNTS))], *[pa.array(vs[:, i]) for i in range(D)]]
             yield pa.RecordBatch.from_arrays(cols, [*keep, "grp", *COUNTS, *VECTOR])
 
-    schema = f"{kept}, grp string, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in VECTOR)
+    schema = ", ".join([*kept, "grp string", *[f"{c} bigint" for c in COUNTS], *[f"{c} double" for c in VECTOR]])
     return map_batches(docs.select(*names), run, schema, rows=500)
 
 
