@@ -16,8 +16,9 @@ have that share, which bounds the model however large the corpus is.
 A text is framed by the byte 0xFF, which UTF-8 never has: as the context of its
 first bytes, and as one end symbol.  The base score is a smoothed unigram model
 of words; its vocabulary is never gathered in one place.  Texts are grouped
-into blocks, (block, word) pairs are joined with the word counts, and a block's
-texts are scored from its own words' counts.
+into blocks, each block's distinct words are shared out by ranges of their hash,
+a share's task sums every word over all blocks and sends each block its counts
+back, and a block's texts are scored from those.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +42,8 @@ FOLDS, HELD_OUT = 5, 1
 PIECE = 1 << 20
 #: Texts of a block, and words after which it is closed.
 BLOCK_TEXTS, BLOCK_WORDS = 2_000, 1_000_000
+#: Words of all blocks, repeated between blocks, that a task counts.
+SHARE_WORDS = 400_000
 #: Distinct strings that a counting task holds before it hands them on.
 HELD = 2_000_000
 
@@ -267,34 +271,37 @@ def text_scores(model: Model, texts: list[str | None]) -> np.ndarray:
     return out
 
 
-END = b"\n"  # no word has white space
+END = b""  # stands among words for the end of a text
 
 
-def blocks(model_of, id_type: pa.DataType):
-    """Rows (block, words, learned, texts): a block's words in order, how often each occurs in its training texts, and its texts' columns and word numbers."""
+def hashes(words: list[bytes]) -> np.ndarray:
+    """32 bits of each word, by which its counts are shared out."""
+    return np.array([xxhash.xxh32_intdigest(w) for w in words], np.uint32)
+
+
+BLOCK = "block bigint, n_words bigint, words binary, learned binary, texts binary"
+
 
-    def close(block, words, learned, meta, numbers):
-        texts = {"doc_id": meta["doc_id"], "held_out": meta["held_out"], "n_tokens": meta["n_tokens"], "score": meta["score"], "n_bytes": meta["n_bytes"]}
-        table = pa.table({**{k: pa.array(v, id_type if k == "doc_id" else None) for k, v in texts.items()}, "numbers": pa.array(numbers, pa.binary())})
+def blocks(model_of, id_type: pa.DataType):
+    """A row for each block of texts: its distinct words in order of hash, how often each occurs in its training texts, and its texts' columns and word numbers."""
+
+    def close(block, words, learned, meta, which, times):
+        order = np.argsort(hashes(list(words)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        names = list(words)
+        texts = pa.table({**{k: pa.array(v, id_type if k == "doc_id" else None) for k, v in meta.items()}, "which": pa.array([rank[w].tobytes() for w in which], pa.binary()), "times": pa.array([t.tobytes() for t in times], pa.binary())})
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_table(table)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([block], pa.int64()),
-                pa.array([list(words)], pa.list_(pa.binary())),
-                pa.array([learned], pa.list_(pa.int64())),
-                pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-            ],
-            ["block", "words", "learned", "texts"],
-        )
+        with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(texts)
+        cols = [pa.array([block], pa.int64()), pa.array([len(names)], pa.int64()), *[pa.array([x], pa.binary()) for x in (b"\n".join([names[i] for i in order]), np.array(learned, np.int64)[order].tobytes(), sink.getvalue().to_pybytes())]]
+        return pa.RecordBatch.from_arrays(cols, ["block", "n_words", "words", "learned", "texts"])
 
     def run(batches):
         model = model_of()
-        number = 0
-        base = TaskContext.get().partitionId() << 32
-        fresh = lambda: ({}, [], {"doc_id": [], "held_out": [], "n_tokens": [], "score": [], "n_bytes": []}, [], 0)
-        words, learned, meta, numbers, total = fresh()
+        number, base = 0, TaskContext.get().partitionId() << 32
+        fresh = lambda: ({}, [], {"doc_id": [], "held_out": [], "n_tokens": [], "score": [], "n_bytes": []}, [], [], 0)
+        words, learned, meta, which, times, total = fresh()
         for b in batches:
             texts = b.column("text").to_pylist()
             scores = text_scores(model, texts)
@@ -311,34 +318,75 @@ def blocks(model_of, id_type: pa.DataType):
                         learned[i] += k
                 for k, v in (("doc_id", doc_id), ("held_out", held), ("n_tokens", len(tokens)), ("score", s), ("n_bytes", len(raw))):
                     meta[k].append(v)
-                numbers.append(np.stack([distinct, n.astype(np.uint32)]).tobytes())
+                which.append(distinct)
+                times.append(n.astype(np.uint32))
                 total += len(tokens)
-                if len(numbers) >= BLOCK_TEXTS or total >= BLOCK_WORDS:
-                    yield close(base + number, words, learned, meta, numbers)
+                if len(which) >= BLOCK_TEXTS or total >= BLOCK_WORDS:
+                    yield close(base + number, words, learned, meta, which, times)
                     number += 1
-                    words, learned, meta, numbers, total = fresh()
-        if numbers:
-            yield close(base + number, words, learned, meta, numbers)
+                    words, learned, meta, which, times, total = fresh()
+        if which:
+            yield close(base + number, words, learned, meta, which, times)
 
     return run
 
 
+def shares(n_shares: int):
+    """From blocks: (share, block, words, learned), a share being a range of hashes, so that each word's counts meet in one."""
+
+    def run(batches):
+        for b in batches:
+            rows: list[tuple] = []
+            for block, words, learned in zip(*[b.column(c).to_pylist() for c in ("block", "words", "learned")], strict=True):
+                names, n = words.split(b"\n"), np.frombuffer(learned, np.int64)
+                share = (hashes(names).astype(np.uint64) * np.uint64(n_shares)) >> np.uint64(32)
+                starts = np.flatnonzero(np.concatenate([[True], share[1:] != share[:-1]])).tolist()
+                for i, j in zip(starts, [*starts[1:], len(names)], strict=True):
+                    rows.append((int(share[i]), block, b"\n".join(names[i:j]), n[i:j].tobytes()))
+            if rows:
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["share", "block", "words", "learned"])
+
+    return run
+
+
+def counted(table: pa.Table) -> pa.Table:
+    """All rows of a share: each block's words' counts over all blocks; and one row without a block, of the sum and the number of counts."""
+    total: dict[bytes, int] = {}
+    blocks_, words, learned = (table.column(c).to_pylist() for c in ("block", "words", "learned"))
+    for w, n in zip(words, learned, strict=True):
+        for x, k in zip(w.split(b"\n"), np.frombuffer(n, np.int64).tolist(), strict=True):
+            if k:
+                total[x] = total.get(x, 0) + k
+    counts = [np.array([total.get(x, 0) for x in w.split(b"\n")], np.int64).tobytes() for w in words]
+    share = table.column("share")[0].as_py()
+    return pa.table(
+        {
+            "share": pa.array([share] * (len(words) + 1), pa.int64()),
+            "block": pa.array([*blocks_, None], pa.int64()),
+            "counts": pa.array([*counts, b""], pa.binary()),
+            "total": pa.array([*[0] * len(words), sum(total.values())], pa.int64()),
+            "distinct": pa.array([*[0] * len(words), len(total)], pa.int64()),
+        }
+    )
+
+
 RESULT = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
-def base_scores(id_type: pa.DataType, n_train: int, n_distinct: int):
-    """From a block's texts and the counts of its words in word order: the result rows."""
+def base_scores(n_train: int, n_distinct: int):
+    """From a block's texts and its words' counts, share after share: the result rows."""
     unseen = 0.5 * (n_distinct + 1)
 
     def run(batches):
         for b in batches:
             for texts, counts in zip(b.column("texts").to_pylist(), b.column("counts").to_pylist(), strict=True):
                 t = pa.ipc.open_stream(texts).read_all()
-                c = np.array(counts, np.float64)
+                c = np.frombuffer(b"".join(counts), np.int64)
                 each = np.log10((c + 0.5) / (n_train + unseen))
                 known, base = [], []
-                for raw in t.column("numbers").to_pylist():
-                    which, n = np.frombuffer(raw, np.uint32).reshape(2, -1)
+                for which, n in zip(t.column("which").to_pylist(), t.column("times").to_pylist(), strict=True):
+                    which, n = np.frombuffer(which, np.uint32), np.frombuffer(n, np.uint32)
                     known.append(int(n[c[which] > 0].sum()))
                     base.append(float((each[which] * n).sum()))
                 score, n_bytes = t.column("score").to_numpy(), t.column("n_bytes").to_numpy()
@@ -353,8 +401,9 @@ def score(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
 
     Learned from the rows whose crc32(doc_id as text) mod 5 is not 1.  Null and
     empty texts are one end token and one end symbol.  A null doc_id counts as
-    the empty text in the fold.  Equal texts have equal scores.  Without training
-    texts every count is 0.  Other columns are ignored.
+    the empty text in the fold.  Equal texts have equal CTW scores (base scores
+    up to the order of a sum).  Without training texts every count is 0.  Other
+    columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -362,15 +411,16 @@ def score(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
-    found = stored(map_batches(docs, blocks(lambda: model.value, id_type), "block bigint, words array<binary>, learned array<bigint>, texts binary", rows=500))
-    words = found.select("block", F.posexplode(F.arrays_zip("words", "learned")).alias("at", "w")).select("block", "at", F.col("w.words").alias("word"), F.col("w.learned").alias("n"))
-    counts = stored(words.filter("n > 0").groupBy("word").agg(F.sum("n").alias("c")))
-    totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    joined = words.select("block", "at", "word").join(counts, "word", "left").select("block", "at", F.coalesce("c", F.lit(0)).alias("c"))
-    by_block = joined.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "c"))), lambda x: x["c"]).alias("counts"))
+    found = stored(map_batches(docs, blocks(lambda: model.value, id_type), BLOCK, rows=500))
+    # As many shares as there are words of SHARE_WORDS in all blocks, so a share fits a task at any size.
+    n_shares = max(1, -(-(found.agg(F.sum("n_words")).first()[0] or 0) // SHARE_WORDS))
+    shared = map_batches(found.select("block", "words", "learned"), shares(n_shares), "share bigint, block bigint, words binary, learned binary", rows=4)
+    counts = stored(shared.groupBy("share").applyInArrow(counted, "share bigint, block bigint, counts binary, total bigint, distinct bigint"))
+    totals = counts.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
+    by_block = counts.filter("block is not null").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("share", "counts"))).alias("parts")).select("block", F.col("parts.counts").alias("counts"))
     return map_batches(
         found.select("block", "texts").join(by_block, "block").select("texts", "counts"),
-        base_scores(id_type, totals["n"] or 0, totals["v"]),
+        base_scores(totals["n"] or 0, totals["v"] or 0),
         f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double",
         rows=1,
     )
