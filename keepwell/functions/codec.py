@@ -7,6 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keepwell.schemas import SAMPLE_BYTES, SAMPLE_FLOOR, USEFUL_RATIO, ZSTD_LEVEL
 
@@ -14,6 +15,10 @@ from keepwell.schemas import SAMPLE_BYTES, SAMPLE_FLOOR, USEFUL_RATIO, ZSTD_LEVE
 CASTAGNOLI = 0x82F63B78
 
 
+def _fields(**types: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in types.items()])
+
+
 def crc_table() -> np.ndarray:
     c = np.arange(256, dtype=np.uint32)
     for _ in range(8):
@@ -43,7 +48,7 @@ def crc32c_of(payloads: list[bytes | None]) -> list[int | None]:
     return [None if p is None else int(x) for p, x in zip(payloads, crc ^ np.uint32(0xFFFFFFFF), strict=True)]
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def crc32c(payload: pd.Series) -> pd.Series:
     return pd.Series(crc32c_of(payload.tolist()), dtype="Int64")
 
@@ -57,17 +62,17 @@ def decompressed(packed: bytes, size: int) -> bytes:
     return pa.Codec("zstd", ZSTD_LEVEL).decompress(packed, size, asbytes=True)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def zstd(payload: pd.Series) -> pd.Series:
     return payload.map(lambda x: None if x is None else compressed(x))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def unzstd(packed: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else decompressed(x, int(n)) for x, n in zip(packed, size, strict=True)], dtype=object)
 
 
-@F.pandas_udf("codec string, original_size bigint, compressed_size bigint, ratio double, original_crc bigint, compressed_crc bigint, verified boolean")
+@F.pandas_udf(_fields(codec=T.StringType(), original_size=T.LongType(), compressed_size=T.LongType(), ratio=T.DoubleType(), original_crc=T.LongType(), compressed_crc=T.LongType(), verified=T.BooleanType()))
 def compress_verified(payload: pd.Series) -> pd.DataFrame:
     """Compress, decompress and compare, as one row of facts."""
     raw = payload.tolist()
@@ -86,7 +91,7 @@ def compress_verified(payload: pd.Series) -> pd.DataFrame:
     )
 
 
-@F.pandas_udf("ratio double, worthwhile boolean")
+@F.pandas_udf(_fields(ratio=T.DoubleType(), worthwhile=T.BooleanType()))
 def benefit_estimate(payload: pd.Series) -> pd.DataFrame:
     """Whether a sample from the front compresses well enough; too small ones don't."""
 
