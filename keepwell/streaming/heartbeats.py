@@ -41,7 +41,17 @@ def retirements(stream: DataFrame, timeout_ms: int = NODE_TIMEOUT_MS) -> DataFra
 
 
 def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run ``stream`` over what is there and return its result table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    """Run ``stream`` over what is there and return its result table.
+
+    Without batches that have no data, for with a processing-time timeout those
+    would go on for ever; timeouts fire in a stream that keeps running.
+    """
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        conf.set(key, before)
     return stream.sparkSession.table(name)
