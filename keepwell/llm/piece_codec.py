@@ -36,12 +36,15 @@ from keepwell.llm.common import map_batches, stored
 from keepwell.llm.token_counts import MARK, model_bytes, processor
 
 SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-#: A segment begins at a mark after another character, at a line feed and after one.
-SAFE = re.compile(f"(?<=[^{MARK}]){MARK}|\n|(?<=\n)")
 #: Documents with more code points are cut into chunks of so many.
 CHUNK = 32_768
 #: Segments that a worker remembers, and the longest it does.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 400_000, 63
+
+#: Tie marks have 18 bits: those of a remembered segment sum to less than 2^24, so its weight fits one 64-bit integer.
+TIE, TIE_BITS = (1 << 18) - 1, 24
+#: Characters with the most continuations have a column of their own in the table of transitions.
+COLUMNS = 160
 
 Weight = tuple[int, int]
 NONE: Weight = (-(1 << 62), 0)
@@ -84,7 +87,7 @@ def vocabulary(model: bytes) -> Vocabulary:
 
 
 def tie(start: int, piece: int) -> int:
-    return (piece * 2654435761 ^ (start + 1) * 40503) & 0xFFFFF
+    return (piece * 2654435761 ^ (start + 1) * 40503) & TIE
 
 
 def best_paths(v: Vocabulary, text: str, core: int, begin: int, rel: int) -> tuple[list[Weight], list[tuple[int, int] | None]]:
@@ -126,11 +129,118 @@ def path_ids(v: Vocabulary, text: str, edge: list[tuple[int, int] | None], begin
     return out[::-1]
 
 
+class Trie:
+    """The pieces as arrays: transitions by (node, character), and the piece of each node or -1."""
+
+    def __init__(self, v: Vocabulary):
+        nodes = {"": 0} | {p: i + 1 for i, p in enumerate(v.ids)}
+        self.piece = np.array([-1, *v.ids.values()], np.int64)
+        moves = [(nodes[p[:-1]], p[-1], n) for p, n in nodes.items() if p]
+        usual: dict[str, int] = {}
+        for _, c, _ in moves:
+            usual[c] = usual.get(c, 0) + 1
+        chars = sorted(usual, key=lambda c: -usual[c])
+        number = {c: i for i, c in enumerate(chars)}
+        self.size, self.n_chars = min(COLUMNS, len(chars)), len(chars)
+        #: Number of each code point; those without a piece of their own have -1.
+        self.number = np.full(0x110000, -1, np.int32)
+        for c, i in number.items():
+            if v.ids.get(c, -1) >= 0:
+                self.number[ord(c)] = i
+        self.dense = np.zeros((len(nodes), self.size), np.int32)
+        rare = []
+        for node, c, to in moves:
+            if number[c] < self.size:
+                self.dense[node, number[c]] = to
+            else:
+                rare.append((node * self.n_chars + number[c], to))
+        rare.sort()
+        self.keys = np.array([k for k, _ in rare] or [-1], np.int64)
+        self.to = np.array([t for _, t in rare] or [0], np.int32)
+        self.scores = np.array(v.scores, np.int64)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The next nodes; 0 where there is none."""
+        out = self.dense[node, np.minimum(char, self.size - 1)]
+        rare = np.flatnonzero(char >= self.size)
+        if len(rare):
+            key = node[rare].astype(np.int64) * self.n_chars + char[rare]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[rare] = np.where(self.keys[at] == key, self.to[at], 0)
+        return out
+
+    def solve(self, segments: list[str], longest: int) -> tuple[list[bytes | None], list[int]]:
+        """Ids and scores of segments of at most LONGEST characters; None for those with a character without a piece.
+
+        All segments advance together: from each offset, along the trie, every
+        piece offers its end a weight, and each end keeps the best.
+        """
+        order = sorted(range(len(segments)), key=lambda i: -len(segments[i]))
+        texts = [segments[i] for i in order]
+        size = np.array([len(t) for t in texts], np.int64)
+        chars = self.number[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        from_ = np.cumsum(size) - size
+        base = from_ + np.arange(len(texts))  # each segment has one place more than characters
+        bad = np.minimum.reduceat(chars, from_) < 0
+        chars = np.maximum(chars, 0)
+        best = np.full(len(chars) + len(texts), -(1 << 62), np.int64)
+        best[base] = 0
+        length, piece = np.zeros(len(best), np.int8), np.zeros(len(best), np.int32)
+        for i in range(int(size[0])):
+            alive = np.arange(np.searchsorted(-size, -i, "left"))  # longer than i
+            node = np.zeros(len(alive), np.int32)
+            for j in range(i + 1, i + longest + 1):
+                if j > i + 1:
+                    more = size[alive] >= j
+                    alive, node = alive[more], node[more]
+                node = self.step(node, chars[from_[alive] + j - 1])
+                going = node > 0
+                if not going.all():
+                    alive, node = alive[going], node[going]
+                if not len(alive):
+                    break
+                p = self.piece[node]
+                ends = p >= 0
+                whose, p = (alive, p) if ends.all() else (alive[ends], p[ends])
+                weight = best[base[whose] + i] + (self.scores[p] << TIE_BITS) + ((p * 2654435761 ^ (i + 1) * 40503) & TIE)
+                target = base[whose] + j
+                better = weight > best[target]
+                target = target[better]
+                best[target], length[target], piece[target] = weight[better], j - i, p[better]
+        # Back from every end at once; what comes last is found first.
+        at, rows, found = size.copy(), [], []
+        live = np.flatnonzero(~bad)
+        while len(live):
+            place = base[live] + at[live]
+            rows.append(live)
+            found.append(piece[place])
+            at[live] -= length[place]
+            live = live[at[live] > 0]
+        raw, ends = b"", [0] * len(texts)
+        if rows:
+            row, ids = np.concatenate(rows[::-1]), np.concatenate(found[::-1])
+            raw = ids[np.argsort(row, kind="stable")].astype(np.int32).tobytes()
+            ends = (np.cumsum(np.bincount(row, minlength=len(texts))) * 4).tolist()
+        scores = (best[base + size] >> TIE_BITS).tolist()
+        out: list[bytes | None] = [None] * len(texts)
+        totals = [0] * len(texts)
+        begin = 0
+        for k, (i, end, wrong) in enumerate(zip(order, ends, bad.tolist(), strict=True)):
+            if not wrong:
+                out[i], totals[i] = raw[begin:end], scores[k]
+            begin = end
+        return out, totals
+
+
 class Codec:
     """Encodes and decodes; remembers the ids (as 32-bit integers) and weights of segments."""
 
     def __init__(self, model: bytes):
         self.v = vocabulary(model)
+        self.trie = Trie(self.v)
+        self.letters = np.frombuffer(b"".join(self.v.spelling), np.uint8)
+        self.sizes = np.array([len(x) for x in self.v.spelling], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.ids: dict[str, bytes] = {}
         self.weights: dict[str, int] = {}
 
@@ -140,10 +250,17 @@ class Codec:
         if len(self.ids) + len(rest) > REMEMBERED:
             self.ids, self.weights = {}, {}
             rest = segments
+        usual = [s for s in rest if len(s) <= LONGEST]
+        for at in range(0, len(usual), 50_000):
+            part = usual[at : at + 50_000]
+            ids, weights = self.trie.solve(part, self.v.longest)
+            self.ids.update(zip(part, ids, strict=True))
+            self.weights.update(zip(part, weights, strict=True))
         for s in rest:
-            weight, edge = best_paths(self.v, s, len(s), 0, 0)
-            self.ids[s] = np.array(path_ids(self.v, s, edge, 0, len(s)), np.int32).tobytes()
-            self.weights[s] = weight[len(s)][0]
+            if self.ids.get(s) is None:  # long, or with a character without a piece
+                weight, edge = best_paths(self.v, s, len(s), 0, 0)
+                self.ids[s] = np.array(path_ids(self.v, s, edge, 0, len(s)), np.int32).tobytes()
+                self.weights[s] = weight[len(s)][0]
         return [s for s in rest if len(s) > LONGEST]
 
     def forget(self, segments: list[str]) -> None:
@@ -152,36 +269,50 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[int]]:
         """Ids, as bytes of 32-bit integers, and scores."""
-        ids, scores = [], []
-        for at in range(0, len(texts), 50):
-            part = [SEGMENT.findall(marked(t)) for t in texts[at : at + 50]]
-            long = self.learn(set().union(*part))
-            ids += [b"".join(map(self.ids.__getitem__, s)) for s in part]
-            scores += [sum(map(self.weights.__getitem__, s)) for s in part]
-            self.forget(long)
+        found = [SEGMENT.findall(marked(t)) for t in texts]
+        long = self.learn(set().union(*found))
+        ids = [b"".join(map(self.ids.__getitem__, s)) for s in found]
+        scores = [sum(map(self.weights.__getitem__, s)) for s in found]
+        self.forget(long)
         return ids, scores
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; without the mark that encoding puts first."""
-        text = b"".join(map(self.v.spelling.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+    def decode(self, ids: np.ndarray, ends: list[int]) -> list[str]:
+        """Texts of ids, cut at ``ends``; without the mark that encoding puts first."""
+        size = self.sizes[ids]
+        done = np.cumsum(size)
+        at = np.arange(int(done[-1]) if len(done) else 0) + np.repeat(self.starts[ids] - (done - size), size)
+        raw = self.letters[at].tobytes()
+        out, begin = [], 0
+        for end in ends:
+            stop = int(done[end - 1]) if end else 0
+            text = raw[begin:stop].decode("utf-8", "replace")
+            out.append(text[1:] if text.startswith(" ") else text)
+            begin = stop
+        return out
 
     # --- chunks
 
     def parts(self, core: str, look: str, rel: int) -> tuple[int, int]:
         """The first and the last begin of a segment in a chunk; -1, -1 if there is none."""
-        first = 0 if rel == 0 else next((m.start() for m in SAFE.finditer(core) if m.start() > 0), -1)
+        first = 0 if rel == 0 else first_begin(core)
         if first < 0:
             return -1, -1
-        last = first
-        for m in SAFE.finditer(core, first):
-            last = max(last, m.start())
+        last = max(first, last_begin(core, 0, len(core)))
         if look and safe_between(core[-1], look[0]):
             last = len(core)
         return first, last
 
+    def middles(self, chunks: list[tuple]) -> list[str]:
+        """Solve the whole segments of all (core, look, rel, ...) at once."""
+        found: set[str] = set()
+        for core, look, rel, *_ in chunks:
+            first, last = self.parts(core, look, rel)
+            if first >= 0:
+                found.update(SEGMENT.findall(core[first:last]))
+        return self.learn(found)
+
     def transfer(self, core: str, look: str, rel: int) -> list[list[Weight]]:
-        """[state at begin][state at end]: the best weights over pieces that start in the chunk."""
+        """[state at begin][state at end]: the best weights over pieces that start in the chunk.  ``middles`` comes first."""
         size, n = self.v.longest, len(core)
         first, last = self.parts(core, look, rel)
         matrix = [[NONE] * size for _ in range(size)]
@@ -191,7 +322,8 @@ class Codec:
                 w = best_paths(self.v, text, n, i, rel)[0]
                 matrix[i][: len(text) - n + 1] = w[n : n + size]
             return matrix
-        middle = self.middle(core[first:last])[1]
+        # Every path through the chunk has these pieces, so their tie marks don't matter.
+        middle = (sum(map(self.weights.__getitem__, SEGMENT.findall(core[first:last]))), 0)
         end = best_paths(self.v, core[last:] + look, n - last, 0, 0)[0][n - last :]
         for i in range(min(size, first + 1)):
             head = best_paths(self.v, core[:first], first, i, rel)[0][first]
@@ -199,16 +331,8 @@ class Codec:
                 matrix[i][: len(end)] = [plus(plus(head, middle), e) for e in end[:size]]
         return matrix
 
-    def middle(self, text: str) -> tuple[bytes, Weight]:
-        """Ids and weight of whole segments; every path through the chunk has them, so their tie marks don't matter."""
-        found = SEGMENT.findall(text)
-        long = self.learn(set(found))
-        out = b"".join(map(self.ids.__getitem__, found)), (sum(map(self.weights.__getitem__, found)), 0)
-        self.forget(long)
-        return out
-
     def chunk_ids(self, core: str, look: str, rel: int, i: int, j: int) -> bytes:
-        """The ids of a chunk's pieces, given the states at its begin and end."""
+        """The ids of a chunk's pieces, given the states at its begin and end.  ``middles`` comes first."""
         n = len(core)
         first, last = self.parts(core, look, rel)
         if first < 0:
@@ -218,7 +342,7 @@ class Codec:
         return b"".join(
             [
                 np.array(path_ids(self.v, head, best_paths(self.v, head, first, i, rel)[1], i, first), np.int32).tobytes(),
-                self.middle(core[first:last])[0],
+                *map(self.ids.__getitem__, SEGMENT.findall(core[first:last])),
                 np.array(path_ids(self.v, tail, best_paths(self.v, tail, n - last, 0, 0)[1], 0, n - last + j), np.int32).tobytes(),
             ]
         )
@@ -237,6 +361,27 @@ def safe_between(left: str, right: str) -> bool:
     return left == "\n" or right == "\n" or (right == MARK and left != MARK)
 
 
+def first_begin(text: str) -> int:
+    """The first begin of a segment after position 0, or -1."""
+    line = text.find("\n")
+    line = line or 1 if line >= 0 else len(text) + 1
+    mark = text.find(MARK, 1)
+    while mark > 0 and text[mark - 1] == MARK:
+        mark = text.find(MARK, mark + 1)
+    found = min(line, mark) if mark > 0 else line
+    return found if found <= len(text) else -1
+
+
+def last_begin(text: str, low: int, high: int) -> int:
+    """The last begin of a segment in (low, high], or -1."""
+    line = text.rfind("\n", low, high + 1)
+    line = -1 if line < 0 else line + 1 if line + 1 <= high else line if line > low else -1
+    mark = text.rfind(MARK, low + 1, high + 1)
+    while mark > low and text[mark - 1] == MARK:
+        mark -= 1
+    return max(line, mark if mark > low else -1)
+
+
 def marked(text: str | None) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
@@ -249,8 +394,7 @@ def cut(text: str, size: int, overlap: int):
     begin = safe = 0  # safe: the last begin of a segment up to here
     for end in ends:
         yield text[begin:end], text[end : end + overlap - 1], begin - safe
-        for m in SAFE.finditer(text, begin + 1, min(end + 1, len(text))):
-            safe = m.start() if m.start() <= end else safe
+        safe = max(safe, last_begin(text, begin, end))
         begin = end
 
 
@@ -288,6 +432,13 @@ def int_lists(raw: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))
 
 
+def decoded(c: Codec, ids: pa.ListArray) -> list[str]:
+    """Texts of an array of id lists; empty for null."""
+    offsets = ids.offsets.to_numpy()
+    flat = ids.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    return c.decode(flat.astype(np.int64), (offsets[1:] - offsets[0]).tolist())
+
+
 def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """doc_id, ids, score for each row of ``docs``, which has doc_id and text.
 
@@ -327,9 +478,11 @@ def encode_giant(docs: DataFrame, model, kind: str, chunk: int) -> DataFrame:
     def matrices(batches):
         c = codec(model.value)
         for b in batches:
-            for row, k, core, look, rel in zip(*[b.column(x).to_pylist() for x in ("row", "k", "core", "look", "rel")], strict=True):
-                flat = [w for line in c.transfer(core, look, rel) for w in line]
-                yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([k], pa.int32()), pa.array([[s for s, _ in flat]]), pa.array([[t for _, t in flat]])], ["row", "k", "scores", "ties"])
+            chunks_ = list(zip(*[b.column(x).to_pylist() for x in ("core", "look", "rel")], strict=True))
+            long = c.middles(chunks_)
+            flat = [[w for line in c.transfer(*x) for w in line] for x in chunks_]
+            c.forget(long)
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("k"), *[pa.array([[w[i] for w in m] for m in flat], pa.list_(pa.int64())) for i in (0, 1)]], ["row", "k", "scores", "ties"])
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
@@ -338,16 +491,19 @@ def encode_giant(docs: DataFrame, model, kind: str, chunk: int) -> DataFrame:
         weights = [m[i][j][0] for m, i, j in zip(ms, states, states[1:], strict=False)]
         return pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "i": states[:-1], "j": states[1:], "score": weights})
 
-    measured = map_batches(chunks.select("row", "k", "core", "look", "rel"), matrices, "row bigint, k int, scores array<bigint>, ties array<bigint>", rows=16)
+    measured = map_batches(chunks.select("row", "k", "core", "look", "rel"), matrices, "row bigint, k int, scores array<bigint>, ties array<bigint>", rows=64)
     settled = measured.groupBy("row").applyInPandas(scan, "row bigint, k int, i int, j int, score bigint")
 
     def pieces(batches):
         c = codec(model.value)
         for b in batches:
-            ids = [c.chunk_ids(*x) for x in zip(*[b.column(x).to_pylist() for x in ("core", "look", "rel", "i", "j")], strict=True)]
+            chunks_ = list(zip(*[b.column(x).to_pylist() for x in ("core", "look", "rel", "i", "j")], strict=True))
+            long = c.middles(chunks_)
+            ids = [c.chunk_ids(*x) for x in chunks_]
+            c.forget(long)
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("k"), int_lists(ids), b.column("score")], ["row", "doc_id", "k", "ids", "score"])
 
-    found = map_batches(chunks.join(settled, ["row", "k"]).select("row", "doc_id", "k", "core", "look", "rel", "i", "j", "score"), pieces, f"row bigint, doc_id {kind}, k int, ids array<int>, score bigint", rows=16)
+    found = map_batches(chunks.join(settled, ["row", "k"]).select("row", "doc_id", "k", "core", "look", "rel", "i", "j", "score"), pieces, f"row bigint, doc_id {kind}, k int, ids array<int>, score bigint", rows=64)
     whole = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"), F.sum("score").alias("score"))
     return whole.select("doc_id", F.flatten(F.col("parts.ids")).alias("ids"), "score")
 
@@ -365,7 +521,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         c = codec(model.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x if x is None else c.decode(x) for x in b.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
+            given = b.column("ids")
+            texts = decoded(c, given)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([t if ok else None for t, ok in zip(texts, given.is_valid().to_pylist(), strict=True)], pa.string())], ["doc_id", "text"])
 
     return map_batches(encoded.select("doc_id", "ids"), run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string", rows=500)
 
@@ -381,7 +539,7 @@ def op7(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         c = codec(model.value)
         for b in batches:
-            back = [c.decode(x) for x in b.column("ids").to_pylist()]
+            back = decoded(c, b.column("ids"))
             n = pa.array(np.diff(b.column("ids").offsets.to_numpy()).astype(np.int64))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, b.column("score"), b.column("ids"), pa.array([len(t) for t in back], pa.int64()), pa.array([zlib.crc32(t.encode()) for t in back], pa.int64())], ["doc_id", "n_tokens", "score", "ids", "n_chars", "text_crc32"])
 
