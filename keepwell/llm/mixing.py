@@ -24,12 +24,18 @@ from keepwell.llm.common import WORD, stored
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BUCKET_DIGITS = 3
+#: Sources whose cutoffs are broadcast (100 bytes each); with more the join shuffles.
+BROADCAST_SOURCES = 10_000
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def shuffle_key() -> Column:
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(source, source_size, weight, budget, level, target) from rows of (source, size).
 
@@ -51,8 +57,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken and the columns ``carry`` for each row of ``docs``.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken and key (the order within a source) for each row of ``docs``.
 
     ``docs`` has doc_id, text and source; other columns are ignored.  A null or
     empty text has size 0 and takes nothing; null sources form one source, the
@@ -60,8 +66,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, car
     rows next to each other in the order, so which of them takes a last copy is
     immaterial.  An empty table gives an empty result.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
-    base = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), *carry))
+    base = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffle_key().alias("key")))
     base = base.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
 
     buckets = base.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
@@ -76,7 +81,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, car
         base.join(known, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
         .withColumn("cum", F.col("before") + F.sum("size").over(inside))
         .withColumn("n", F.when(F.col("size") > 0, F.size(F.filter(passes, lambda e: (e * F.col("source_size") + F.col("cum")) / F.col("weight") <= F.col("level")))).otherwise(0))
-        .select("doc_id", "source", "size", "key", "cum", "source_size", "weight", "budget", "level", "target", "n", *carry)
+        .select("doc_id", "source", "size", "key", "cum", "source_size", "weight", "budget", "level", "target", "n")
     )
     rows = stored(rows)
 
@@ -100,22 +105,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, car
     return (
         rows.join(margin, F.col("source").eqNullSafe(F.col("m_source")) & (F.col("cum") == F.col("m_cum")) & (F.col("size") > 0), "left")
         .withColumn("copies", (F.col("n") + F.coalesce(F.col("more"), F.lit(0))).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *carry)
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "key")
     )
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, lang, source, n_chars), each as often as the mix takes it.
+    """The rows of ``docs`` (doc_id, text, lang, source, n_chars), each as often as the mix takes it; without words, none.
 
-    Rows with the same doc_id, text and source count as copies of one row: it is
-    returned as often as all of them are taken together.
+    In its order, a source's documents are all taken some number of times, and
+    up to a cutoff once more.  So a row per source says what to do with a text,
+    and texts aren't shuffled.  Rows that tie at a cutoff (one doc_id and size)
+    are taken alike.
     """
     names = ["doc_id", "text", "lang", "source", "n_chars"]
-    parts = [x for c in ("doc_id", "source", "text") for x in (F.col(c).isNull().cast("string"), F.coalesce(F.col(c).cast("string"), F.lit("")))]
-    keyed = docs.select(*names, F.sha2(F.concat_ws("\x1f", *parts), 256).alias("row_key"))
-    copies = mix(keyed, carry=("row_key",)).groupBy("row_key").agg(F.sum("copies").alias("copies")).filter("copies > 0")
-    rows = keyed.groupBy("row_key").agg(F.min(F.struct(*names)).alias("row"))
-    return rows.join(copies, "row_key").select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*names)
+    order = ("key", "doc_id", "size")
+    cuts = mix(docs).filter("size > 0").groupBy("source").agg(F.min("copies").alias("low"), F.max(F.struct("copies", *order)).alias("last"))
+    cuts = stored(cuts.select(F.col("source").alias("cut_source"), "low", F.col("last.copies").alias("high"), F.struct(*[F.col(f"last.{c}") for c in order]).alias("cutoff")))
+    few = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
+    sized = docs.select(*names, n_words(F.col("text")).alias("size"), shuffle_key().alias("key")).filter("size > 0")
+    more = (F.col("high") > F.col("low")) & (F.struct(*order) <= F.col("cutoff"))
+    copies = (F.col("low") + F.when(more, F.col("high") - F.col("low")).otherwise(0)).cast("int")
+    joined = sized.join(few, F.col("source").eqNullSafe(F.col("cut_source"))).withColumn("copies", copies).filter("copies > 0")
+    return joined.select(*names, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(*names)
 
 
 ORACLE = r"""

@@ -23,6 +23,7 @@ pieces; they weigh nothing, for no segmentation can avoid them.
 from __future__ import annotations
 
 import re
+import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -39,7 +40,7 @@ SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 #: Documents with more code points are cut into chunks of so many.
 CHUNK = 32_768
 #: Segments that a worker remembers, and the longest it does.
-REMEMBERED, LONGEST = 400_000, 63
+REMEMBERED, LONGEST = 250_000, 63
 
 #: Tie marks have 18 bits: those of a remembered segment sum to less than 2^24, so its weight fits one 64-bit integer.
 TIE, TIE_BITS = (1 << 18) - 1, 24
@@ -169,8 +170,8 @@ class Trie:
             out[rare] = np.where(self.keys[at] == key, self.to[at], 0)
         return out
 
-    def solve(self, segments: list[str], longest: int) -> tuple[list[bytes | None], list[int]]:
-        """Ids and scores of segments of at most LONGEST characters; None for those with a character without a piece.
+    def solve(self, segments: list[str], longest: int) -> list[bytes | None]:
+        """Ids of segments of at most LONGEST characters; None for those with a character without a piece.
 
         All segments advance together: from each offset, along the trie, every
         piece offers its end a weight, and each end keeps the best.
@@ -221,19 +222,17 @@ class Trie:
             row, ids = np.concatenate(rows[::-1]), np.concatenate(found[::-1])
             raw = ids[np.argsort(row, kind="stable")].astype(np.int32).tobytes()
             ends = (np.cumsum(np.bincount(row, minlength=len(texts))) * 4).tolist()
-        scores = (best[base + size] >> TIE_BITS).tolist()
         out: list[bytes | None] = [None] * len(texts)
-        totals = [0] * len(texts)
         begin = 0
-        for k, (i, end, wrong) in enumerate(zip(order, ends, bad.tolist(), strict=True)):
+        for i, end, wrong in zip(order, ends, bad.tolist(), strict=True):
             if not wrong:
-                out[i], totals[i] = raw[begin:end], scores[k]
+                out[i] = raw[begin:end]
             begin = end
-        return out, totals
+        return out
 
 
 class Codec:
-    """Encodes and decodes; remembers the ids (as 32-bit integers) and weights of segments."""
+    """Encodes and decodes; remembers the ids of segments, as 32-bit integers.  A segment's weight is the sum of its ids' scores."""
 
     def __init__(self, model: bytes):
         self.v = vocabulary(model)
@@ -241,40 +240,38 @@ class Codec:
         self.letters = np.frombuffer(b"".join(self.v.spelling), np.uint8)
         self.sizes = np.array([len(x) for x in self.v.spelling], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        self.scores = np.array(self.v.scores, np.int64)
         self.ids: dict[str, bytes] = {}
-        self.weights: dict[str, int] = {}
 
     def learn(self, segments: set[str]) -> list[str]:
         """Solve what isn't known; returns the long ones, for ``forget`` after use."""
         rest = segments.difference(self.ids)
         if len(self.ids) + len(rest) > REMEMBERED:
-            self.ids, self.weights = {}, {}
+            self.ids = {}
             rest = segments
         usual = [s for s in rest if len(s) <= LONGEST]
         for at in range(0, len(usual), 50_000):
             part = usual[at : at + 50_000]
-            ids, weights = self.trie.solve(part, self.v.longest)
-            self.ids.update(zip(part, ids, strict=True))
-            self.weights.update(zip(part, weights, strict=True))
+            self.ids.update(zip(part, self.trie.solve(part, self.v.longest), strict=True))
         for s in rest:
             if self.ids.get(s) is None:  # long, or with a character without a piece
-                weight, edge = best_paths(self.v, s, len(s), 0, 0)
+                edge = best_paths(self.v, s, len(s), 0, 0)[1]
                 self.ids[s] = np.array(path_ids(self.v, s, edge, 0, len(s)), np.int32).tobytes()
-                self.weights[s] = weight[len(s)][0]
         return [s for s in rest if len(s) > LONGEST]
 
     def forget(self, segments: list[str]) -> None:
         for s in segments:
-            del self.ids[s], self.weights[s]
+            del self.ids[s]
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[int]]:
         """Ids, as bytes of 32-bit integers, and scores."""
         found = [SEGMENT.findall(marked(t)) for t in texts]
         long = self.learn(set().union(*found))
         ids = [b"".join(map(self.ids.__getitem__, s)) for s in found]
-        scores = [sum(map(self.weights.__getitem__, s)) for s in found]
         self.forget(long)
-        return ids, scores
+        done = np.concatenate([[0], np.cumsum(self.scores[np.frombuffer(b"".join(ids), np.int32)])])
+        ends = np.cumsum([0, *[len(x) // 4 for x in ids]])
+        return ids, (done[ends[1:]] - done[ends[:-1]]).tolist()
 
     def decode(self, ids: np.ndarray, ends: list[int]) -> list[str]:
         """Texts of ids, cut at ``ends``; without the mark that encoding puts first."""
@@ -323,7 +320,7 @@ class Codec:
                 matrix[i][: len(text) - n + 1] = w[n : n + size]
             return matrix
         # Every path through the chunk has these pieces, so their tie marks don't matter.
-        middle = (sum(map(self.weights.__getitem__, SEGMENT.findall(core[first:last]))), 0)
+        middle = (int(self.scores[np.frombuffer(b"".join(map(self.ids.__getitem__, SEGMENT.findall(core[first:last]))), np.int32)].sum()), 0)
         end = best_paths(self.v, core[last:] + look, n - last, 0, 0)[0][n - last :]
         for i in range(min(size, first + 1)):
             head = best_paths(self.v, core[:first], first, i, rel)[0][first]
@@ -446,19 +443,41 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
     as a space.  Equal texts have equal ids, cut or not.  Repeated rows each get
     their row; other columns are ignored.
     """
+    return encoded(docs, path, chunk, "ids array<int>, score bigint", lambda c, ids, score: [ids, score])
+
+
+def op7(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, score, ids, and n_chars and text_crc32 of the text decoded from them."""
+
+    def finish(c, ids, score):
+        back = decoded(c, ids)
+        n = pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64))
+        return [n, score, ids, pa.array([len(t) for t in back], pa.int64()), pa.array([zlib.crc32(t.encode()) for t in back], pa.int64())]
+
+    return encoded(docs, path, CHUNK, "n_tokens bigint, score bigint, ids array<int>, n_chars bigint, text_crc32 bigint", finish)
+
+
+def encoded(docs: DataFrame, path: str | None, chunk: int, schema: str, finish) -> DataFrame:
+    """doc_id and the columns that ``finish`` (codec, ids, scores) makes of a batch; in the worker that encodes, so that a task needs no second one."""
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(path))  # the model file's size
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", *[c.split()[0] for c in schema.split(", ")]]
 
     def whole(batches):
         c = codec(model.value)
         for b in batches:
             ids, scores = c.encode(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), int_lists(ids), pa.array(scores, pa.int64())], ["doc_id", "ids", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *finish(c, int_lists(ids), pa.array(scores, pa.int64()))], names)
+
+    def joined(batches):
+        c = codec(model.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *finish(c, b.column("ids"), b.column("score"))], names)
 
     is_giant = F.coalesce(F.length("text"), F.lit(0)) > chunk
-    short = map_batches(docs.filter(~is_giant), whole, f"doc_id {kind}, ids array<int>, score bigint", rows=500)
-    return short.unionByName(encode_giant(docs.filter(is_giant), model, kind, chunk))
+    giant = map_batches(encode_giant(docs.filter(is_giant), model, kind, chunk), joined, f"doc_id {kind}, {schema}")
+    return map_batches(docs.filter(~is_giant), whole, f"doc_id {kind}, {schema}", rows=250).unionByName(giant)
 
 
 def encode_giant(docs: DataFrame, model, kind: str, chunk: int) -> DataFrame:
@@ -514,9 +533,9 @@ def unflat(scores, ties) -> list[list[Weight]]:
     return [flat[i : i + size] for i in range(0, len(flat), size)]
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, text for each row of ``encoded`` (doc_id, ids); null for null ids."""
-    model = encoded.sparkSession.sparkContext.broadcast(model_bytes(path))
+def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, text for each row of ``rows`` (doc_id, ids); null for null ids."""
+    model = rows.sparkSession.sparkContext.broadcast(model_bytes(path))
 
     def run(batches):
         c = codec(model.value)
@@ -525,22 +544,4 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = decoded(c, given)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([t if ok else None for t, ok in zip(texts, given.is_valid().to_pylist(), strict=True)], pa.string())], ["doc_id", "text"])
 
-    return map_batches(encoded.select("doc_id", "ids"), run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string", rows=500)
-
-
-def op7(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, score, ids, and n_chars and text_crc32 of the text decoded from them."""
-    model = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
-    encoded = encode(docs, path)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        import zlib
-
-        c = codec(model.value)
-        for b in batches:
-            back = decoded(c, b.column("ids"))
-            n = pa.array(np.diff(b.column("ids").offsets.to_numpy()).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, b.column("score"), b.column("ids"), pa.array([len(t) for t in back], pa.int64()), pa.array([zlib.crc32(t.encode()) for t in back], pa.int64())], ["doc_id", "n_tokens", "score", "ids", "n_chars", "text_crc32"])
-
-    return map_batches(encoded, run, f"doc_id {kind}, n_tokens bigint, score bigint, ids array<int>, n_chars bigint, text_crc32 bigint", rows=500)
+    return map_batches(rows.select("doc_id", "ids"), run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string", rows=500)
