@@ -318,7 +318,8 @@ def shot_starts(hist: np.ndarray) -> list[int]:
     if not len(hist):
         return []
     diff = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2.0 * hist[0].sum())
-    total, square = np.concatenate([[0.0], np.cumsum(diff)]), np.concatenate([[0.0], np.cumsum(diff * diff)])
+    usual = np.minimum(diff, LEAST)  # a cut shouldn't hide the next one
+    total, square = np.concatenate([[0.0], np.cumsum(usual)]), np.concatenate([[0.0], np.cumsum(usual * usual)])
     at = np.arange(len(diff))
     low = np.maximum(at - WINDOW, 0)
     n = np.maximum(at - low, 1)
@@ -337,7 +338,8 @@ class Clip(NamedTuple):
 
 def clips_of(hist: np.ndarray, frame_us: int) -> list[Clip]:
     starts = shot_starts(hist)
-    return [Clip(a, b - a, a * frame_us // 1000, b * frame_us // 1000) for a, b in zip(starts, [*starts[1:], len(hist)], strict=True)]
+    ends = [*starts[1:], len(hist)] if starts else []
+    return [Clip(a, b - a, a * frame_us // 1000, b * frame_us // 1000) for a, b in zip(starts, ends, strict=True)]
 
 
 class Decoded(NamedTuple):
