@@ -195,10 +195,12 @@ def identify(docs: DataFrame) -> DataFrame:
         .fillna(0)
     )
     n = stats["n"].to_numpy(float)
-    positive = np.array([stats[f"pos{i}"].to_numpy(float) for i in bits]).T.reshape(len(langs), -1)
-    right = np.where(code > 0, positive, n[:, None] - positive) / np.maximum(n, 1)[:, None] + 1e-3 if langs else np.zeros((0, 1))
-    weight = right / right.sum(axis=1, keepdims=True) if langs else right
-    scale = np.array([stats[f"abs{i}"].sum() for i in bits]) / max(1.0, n.sum()) + 1e-9 if langs else np.ones(1)
+    weight, scale = np.zeros((0, 1)), np.ones(1)
+    if langs:
+        positive = np.stack([stats[f"pos{i}"].to_numpy(float) for i in bits], axis=1)
+        right = np.where(code > 0, positive, n[:, None] - positive) / np.maximum(n, 1)[:, None] + 1e-3
+        weight = right / right.sum(axis=1, keepdims=True)
+        scale = np.array([stats[f"abs{i}"].sum() for i in bits]) / max(1.0, n.sum()) + 1e-9
 
     def choose(batches):
         for b in batches:
