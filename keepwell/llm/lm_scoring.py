@@ -108,11 +108,11 @@ def handed_on(key: np.ndarray, n: np.ndarray):
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series, moved up by 8: within 1e-12 for x >= 1/2."""
+    """Stirling's series, moved up by 12: within 1e-12 for x >= 1/2."""
     low = np.zeros_like(x)
-    for i in range(8):
+    for i in range(12):
         low += np.log(x + i)
-    y = x + 8
+    y = x + 12
     r = 1 / (y * y)
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / y - low
 
