@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from keepwell.schemas import ARCHIVE_SHARE, COMPRESSION_SHARE, DECAY_SECS, RECOVERY_SHARE, WEIGHTS
 
+# Names of the components, in their order.
 COMPONENT_NAMES = (
     "expected_reuse_value",
     "reconstruction_cost",
@@ -92,6 +93,7 @@ def component(name: str) -> Column:
 def explanation() -> Column:
     """A flat JSON object of a decision (E-05)."""
     c = F.col
+    # The keys.
     fixed = {
         "decision": c("verdict"),
         "score": c("score"),

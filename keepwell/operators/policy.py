@@ -123,6 +123,7 @@ def decide(resolved: DataFrame, level: str, multiplier: float, epoch: int = 1) -
     df = economics.evaluate(economics.cost_inputs(resolved, F.lit(float(multiplier))))
     hard = c("pinned") | c("protected")
     reclaim = (c("reclaim_score") >= c("threshold")) & (c("reuse_probability") <= c("min_reuse_probability"))
+    # The texts of the reasons.
     fixed = F.array(F.when(c("pinned"), "object_is_pinned"), F.when(c("protected"), "object_is_protected"), F.lit("hard_invariant_policy_cannot_recommend_reclaim"))
     free = F.array(
         F.format_string("reuse_probability=%.6f", c("reuse_probability")),
