@@ -20,6 +20,11 @@ def multiplier(name: Column) -> Column:
     return reduce(lambda c, k: c.when(name == k, float(PRESSURE[k])), PRESSURE, F)
 
 
+def parse_level(text: Column) -> Column:
+    """A level's exact name, or an error (E-17)."""
+    return F.when(text.isin(*PRESSURE), text).otherwise(F.raise_error(F.concat(F.lit("unknown pressure level "), text)))
+
+
 def is_valid(*metrics: Column) -> Column:
     """Each within [0, 1] and a number."""
     return reduce(lambda a, b: a & b, [F.coalesce(~F.isnan(m) & m.between(0.0, 1.0), F.lit(False)) for m in metrics])

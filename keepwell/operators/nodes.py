@@ -33,3 +33,9 @@ def backend_owners(nodes: DataFrame) -> DataFrame:
     """(backend, node_id, ambiguous) for nodes (node_id, name, backends); backends are named 'node name/backend'."""
     each = nodes.select("node_id", F.explode(F.transform("backends", lambda b: F.concat("name", F.lit("/"), b))).alias("backend"))
     return each.groupBy("backend").agg(F.min("node_id").alias("node_id"), (F.count(F.lit(1)) > 1).alias("ambiguous"))
+
+
+def takeover(claims: DataFrame, now_ms: int, stale_ms: int) -> DataFrame:
+    """``claims`` (epoch, last_seen_ms) with free, whether another process may claim, and the epoch it would get (R-06)."""
+    free = (F.col("last_seen_ms") == 0) | (F.lit(now_ms) - F.col("last_seen_ms") > stale_ms)
+    return claims.withColumns({"free": free, "next_epoch": F.when(free, F.col("epoch") + 1).otherwise(F.col("epoch"))})

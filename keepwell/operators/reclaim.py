@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwell.functions.economics import min_valid_copies, object_problems
@@ -55,6 +55,26 @@ def delete(table: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
     return table.join(keys.select(*key), key, "left_anti").select(*table.columns)
 
 
+def append(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """``table`` and ``rows`` of an append-only log; ids go on after the greatest, in order of the rows' ``seq`` (W-06..W-10).
+
+    ``rows`` are one call's entries: few, so one task numbers them.
+    """
+    last = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).first()["last"]
+    numbered = rows.withColumn("id", (F.row_number().over(Window.orderBy("seq")) + last).cast(table.schema["id"].dataType))
+    return table.unionByName(numbered.select(*table.columns))
+
+
+def close_open(table: DataFrame, changes: DataFrame, key: str, now_ms: int | None = None) -> DataFrame:
+    """``table`` with the status of the rows that ``changes`` (key, to_status) names; only OPEN rows change, any other fails the call (T-16)."""
+    both = table.join(changes.select(key, "to_status"), key, "left")
+    status = F.when(F.col("to_status").isNull(), F.col("status")).when(F.col("status") == "OPEN", F.col("to_status")).otherwise(F.raise_error(F.lit("not open")))
+    out = both.withColumn("_new", status)
+    if now_ms is not None and "updated_at_ms" in table.columns:
+        out = out.withColumn("updated_at_ms", F.when(F.col("to_status").isNotNull(), F.lit(now_ms).cast("bigint")).otherwise(F.col("updated_at_ms")))
+    return out.withColumn("status", F.col("_new")).select(*table.columns)
+
+
 def deletable(objects: DataFrame, replicas: DataFrame, edges: DataFrame, archives: DataFrame) -> DataFrame:
     """(id): objects that nothing refers to (T-18)."""
     return scans.references_to(objects, replicas, edges, archives).filter("dependents = 0").select("id")

@@ -635,6 +635,40 @@ def register_objects(d):
     return reclaim.registered(new, d.objects.filter("id % 2 = 0")).select("id", "error")
 
 
+@query("attempt_get", "SELECT attempt_id, status FROM attempts WHERE attempt_id = 5")
+def attempt_get(d):
+    return scans.by_id(d.attempts, 5, "attempt_id").select("attempt_id", "status")
+
+
+@query("attempts_close", "SELECT attempt_id, CASE WHEN status = 'OPEN' AND attempt_id % 2 = 0 THEN 'COMMITTED' ELSE status END AS status FROM attempts")
+def attempts_close(d):
+    changes = d.attempts.filter("status = 'OPEN' and attempt_id % 2 = 0").select("attempt_id", F.lit("COMMITTED").alias("to_status"))
+    return reclaim.close_open(d.attempts.select("attempt_id", "status"), changes, "attempt_id")
+
+
+@query("failures_append", "SELECT id, kind FROM failures UNION ALL SELECT (SELECT max(id) FROM failures) + n, 'NEW' FROM (VALUES (1), (2)) AS t(n)")
+def failures_append(d):
+    new = d.sql("SELECT * FROM (VALUES (10, 'NEW'), (20, 'NEW')) AS t(seq, kind)")
+    return reclaim.append(d.failures.select("id", "kind"), new)
+
+
+@query("coordinator_takeover", "SELECT node_id, last_seen_ms = 0 OR 1706572800000 - last_seen_ms > 3600000 AS free, CASE WHEN last_seen_ms = 0 OR 1706572800000 - last_seen_ms > 3600000 THEN 2 ELSE 1 END AS next_epoch FROM (SELECT node_id, max(ts_ms) AS last_seen_ms FROM heartbeats GROUP BY node_id)")
+def coordinator_takeover(d):
+    return nodes.takeover(nodes.last_seen(d.heartbeats).withColumn("epoch", F.lit(1)), HEARTBEAT_NOW, 3_600_000).select("node_id", "free", "next_epoch")
+
+
+@query("edges_without_object", "SELECT parent_id, child_id, kind FROM lineage WHERE parent_id % 5 <> 0 AND child_id % 5 <> 0")
+def edges_without_object(d):
+    ends = d.sql("SELECT parent_id AS id FROM lineage UNION SELECT child_id AS id FROM lineage")
+    return lineage.without_object(d.lineage, ends.filter("id % 5 = 0"))
+
+
+@query("phase_changes", "SELECT attempt_id, CASE WHEN attempt_id % 2 = 0 THEN phase = 'RESERVED' ELSE phase IN ('PHYSICAL_STARTED', 'PHYSICAL_DONE') END AS ok FROM journal")
+def phase_changes(d):
+    to = F.when(F.col("attempt_id") % 2 == 0, "VALIDATED").otherwise("COMMITTED")
+    return d.journal.select("attempt_id", reclaim.phase_change(F.col("phase"), to).alias("ok"))
+
+
 @query(
     "journal_recovery_outcome",
     """SELECT attempt_id, phase, CASE WHEN phase IN ('COMMITTED', 'ROLLED_BACK', 'FAILED') THEN 'CLOSED' WHEN phase IN ('RESERVED', 'VALIDATED') THEN CASE WHEN n_plan IS NULL THEN 'ROLLED_BACK' ELSE 'ERROR' END WHEN n_plan IS NULL THEN 'ERROR'
