@@ -22,6 +22,8 @@ TIERS = {
     "DEFAULT": (None, None),
 }
 SELECTORS = ("match_class", "match_owner", "match_pressure", "match_durability", "match_survivability")
+#: Policies up to which they are constants of the plan; more are joined.
+LITERAL = 200
 FIELDS = ("id", "version", "reclaim_threshold", "min_reuse_probability", *WEIGHTS)
 
 
@@ -82,28 +84,12 @@ def ambiguous_selectors(policies: DataFrame) -> DataFrame:
 def resolve(objects: DataFrame, policies: DataFrame, level: str, strict: bool = True) -> DataFrame:
     """``objects`` with the columns of the policy that applies, tier and ambiguous.
 
-    In each tier, policies are grouped by what they match; one row for each value
-    joins the objects, so no tier multiplies rows.  Tiers that depend on the
-    pressure alone match every object or none.  More than one policy in the first
-    tier that matches is an error if ``strict``.  An object without any policy
-    has null columns.
+    Tiers that depend on the pressure alone match every object or none.  More
+    than one policy in the first tier that matches is an error if ``strict``.  An
+    object without any policy has null columns.
     """
-    own = F.struct(*FIELDS)
-    out, found = objects, []
-    for tier, (selector, column) in TIERS.items():
-        p = policies.filter(F.col("kind") == tier)
-        if column is None and selector:
-            p = p.filter(F.col(selector) == level)
-        if column is None:
-            # One row at most; a literal in the plan rather than a join.
-            row = p.agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("p"))
-            hit = row.first()
-            if hit["n"]:
-                found.append((tier, F.lit(hit["n"]), _literal(hit["p"])))
-            continue
-        one = p.groupBy(F.col(selector).alias(column)).agg(F.count(F.lit(1)).alias(f"_n_{tier}"), F.min(own).alias(f"_p_{tier}"))
-        out = out.join(small(one), column, "left")
-        found.append((tier, F.col(f"_n_{tier}"), F.col(f"_p_{tier}")))
+    given = policies.select("kind", *SELECTORS, *FIELDS).limit(LITERAL + 1).collect()
+    out, found = _by_literals(objects, given, level) if len(given) <= LITERAL else _by_joins(objects, policies, level)
     pick = lambda i: F.coalesce(*[F.when(f[1] > 0, f[i]) for f in found]) if found else F.lit(None)
     tier = F.coalesce(*[F.when(n > 0, F.lit(t)) for t, n, _ in found])
     out = out.withColumns({"tier": tier, "_n": pick(1), "_p": pick(2)})
@@ -113,6 +99,41 @@ def resolve(objects: DataFrame, policies: DataFrame, level: str, strict: bool =
     return out.withColumns({"ambiguous": F.col("_n") > 1, **{k: F.col(f"_p.{v}") for k, v in columns.items()}}).drop("_n", "_p", *[f"_{x}_{t}" for t in TIERS for x in "np"])
 
 
+def _by_literals(objects: DataFrame, given: list, level: str) -> tuple[DataFrame, list]:
+    """Few policies become constants of the plan: a map from what each tier matches to (n, policy), and no join at all."""
+    found = []
+    for tier, (selector, column) in TIERS.items():
+        groups: dict = {}
+        for p in given:
+            if p["kind"] == tier and (selector is None or p[selector] is not None) and (column is not None or selector is None or p[selector] == level):
+                groups.setdefault(p[selector] if column else None, []).append(p)
+        least = {k: (F.lit(len(v)).cast("bigint"), _literal(min(v, key=lambda p: tuple(p[f] for f in FIELDS)))) for k, v in groups.items()}
+        if column is None:
+            found += [(tier, n, p) for n, p in least.values()]
+        elif least:
+            table = F.create_map(*[x for k, (n, p) in least.items() for x in (F.lit(k), F.struct(n.alias("n"), p.alias("p")))])
+            hit = F.try_element_at(table, F.col(column))
+            found.append((tier, hit["n"], hit["p"]))
+    return objects, found
+
+
+def _by_joins(objects: DataFrame, policies: DataFrame, level: str) -> tuple[DataFrame, list]:
+    """Many policies: in each tier one row for each value that it matches joins the objects, so no tier multiplies rows."""
+    own, out, found = F.struct(*FIELDS), objects, []
+    for tier, (selector, column) in TIERS.items():
+        p = policies.filter(F.col("kind") == tier)
+        if column is None:
+            p = p.filter(F.col(selector) == level) if selector else p
+            hit = p.agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("p")).first()
+            if hit["n"]:
+                found.append((tier, F.lit(hit["n"]), _literal(hit["p"])))
+        else:
+            one = p.groupBy(F.col(selector).alias(column)).agg(F.count(F.lit(1)).alias(f"_n_{tier}"), F.min(own).alias(f"_p_{tier}"))
+            out = out.join(small(one), column, "left")
+            found.append((tier, F.col(f"_n_{tier}"), F.col(f"_p_{tier}")))
+    return out, found
+
+
 def _literal(row) -> Column:
     return F.struct(*[F.lit(row[f]).alias(f) for f in FIELDS])
 

@@ -103,6 +103,17 @@ def test_ambiguity_counts_only_where_it_is_reached(spark):
     assert [r.selector_key for r in policy.ambiguous_selectors(policies(spark, *two)).collect()] == ["OWNER:x"]
 
 
+def test_many_policies_are_joined_with_the_same_result(spark, monkeypatch):
+    extra = (dict(id="a", kind="OWNER", match_owner="x"), dict(id="c", kind="OBJECT_CLASS", match_class="k"), dict(id="d", kind="DURABILITY", match_durability="DURABLE"), dict(id="e", kind="OWNER", match_owner="x"), dict(id="p", kind="PRESSURE", match_pressure="HIGH"))
+    rows = [{"id": i, "owner": o, "class": c, "durability_class": u} for i, (o, c, u) in enumerate((o, c, u) for o in ("x", "y") for c in ("k", "l") for u in ("DURABLE", "CRITICAL"))]
+    o, got = objects(spark, *rows), []
+    for limit in (200, 0):
+        monkeypatch.setattr(policy, "LITERAL", limit)
+        for level in PRESSURE:
+            got.append(sorted(map(str, policy.resolve(o, policies(spark, *extra), level, strict=False).select("id", "tier", "ambiguous", "policy_id", "threshold").collect())))
+    assert got[:4] == got[4:] and len({str(g) for g in got[:4]}) == 3
+
+
 def test_candidate_limit(spark):
     with pytest.raises(ValueError):
         planning.candidates(*[None] * 5, limit=10_001)
