@@ -133,26 +133,30 @@ def weight_problems() -> Column:
     return problems({w: finite_cost(F.col(w)) for w in WEIGHTS})
 
 
-def object_problems() -> Column:
-    """What makes an object invalid (E-06)."""
+def object_checks() -> dict[str, Column]:
+    """What must hold of an object (E-06)."""
     c = F.col
     optional = ("recompute_cost", "recompute_latency_secs", "transfer_cost", "migration_cost")
     required = ("storage_cost_per_byte_sec", "memory_cost_per_byte_sec")
-    return problems(
-        {
-            "reuse_probability": finite(c("reuse_probability")) & c("reuse_probability").between(0.0, 1.0),
-            **{n: c(n).isNull() | finite_cost(c(n)) for n in optional},
-            **{n: finite_cost(c(n)) for n in required},
-            "class": F.trim("class") != "",
-            "retention": F.coalesce(c("min_retention_deadline_ms") <= c("max_retention_deadline_ms"), F.lit(True)),
-        }
-    )
+    return {
+        "reuse_probability": finite(c("reuse_probability")) & c("reuse_probability").between(0.0, 1.0),
+        **{n: c(n).isNull() | finite_cost(c(n)) for n in optional},
+        **{n: finite_cost(c(n)) for n in required},
+        "class": F.trim("class") != "",
+        "retention": F.coalesce(c("min_retention_deadline_ms") <= c("max_retention_deadline_ms"), F.lit(True)),
+    }
+
+
+def object_problems() -> Column:
+    return problems(object_checks())
 
 
-def require(df: DataFrame, found: Column, message: str) -> DataFrame:
-    """``df``, failing as a whole if any row has a problem; the check rides on a column, so it can't be pruned away from its row."""
+def require(df: DataFrame, checks: dict[str, Column], message: str) -> DataFrame:
+    """``df``, failing as a whole if a check of any row fails; it rides on the first column, so it can't be pruned away from its row."""
     first = df.columns[0]
-    return df.withColumn(first, F.when(F.size(found) == 0, F.col(first)).otherwise(F.raise_error(F.concat(F.lit(f"{message}: "), F.array_join(found, ", "))).cast(df.schema[first].dataType)))
+    fine = reduce(lambda a, b: a & b, [F.coalesce(ok, F.lit(False)) for ok in checks.values()])
+    error = F.raise_error(F.concat(F.lit(f"{message}: "), F.array_join(problems(checks), ", "))).cast(df.schema[first].dataType)
+    return df.withColumn(first, F.when(fine, F.col(first)).otherwise(error))
 
 
 def min_valid_copies(durability: Column) -> Column:

@@ -66,16 +66,34 @@ def orphans(edges: DataFrame, objects: DataFrame) -> DataFrame:
     return ends.join(objects.select("id"), "id", "left_anti")
 
 
+def _dependencies(edges: DataFrame, objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """DEPENDS_ON edges, and the blockers (start) among their children: live nodes that can't be reconstructed, or no objects."""
+    depends = edges.filter("kind = 'DEPENDS_ON'").select("parent_id", "child_id")
+    child = objects.select(F.col("id").alias("start"), F.col("recompute_cost").isNotNull().alias("remade"), (F.col("lifecycle_state") == "RECLAIMED").alias("dead"))
+    nodes = depends.select(F.col("child_id").alias("start")).distinct()
+    return depends, nodes.join(child, "start", "left").filter(~F.coalesce("remade", F.lit(False)) & ~F.coalesce("dead", F.lit(False))).select("start")
+
+
+def unsafe_ids(edges: DataFrame, objects: DataFrame) -> DataFrame:
+    """(id): what ``unsafe`` finds, as a set: each round adds the parents of the last one's nodes."""
+    depends, blockers = _dependencies(edges, objects)
+    depends = _held(depends.dropna().distinct())
+    frontier = _held(depends.join(blockers.withColumnRenamed("start", "child_id"), "child_id", "left_semi").select(F.col("parent_id").alias("id")).distinct())
+    rounds = [frontier]
+    while not frontier.isEmpty():
+        parents = depends.join(frontier.withColumnRenamed("id", "child_id"), "child_id", "left_semi").select(F.col("parent_id").alias("id")).distinct()
+        frontier = _held(parents.join(reduce(DataFrame.union, rounds), "id", "left_anti"))
+        rounds.append(frontier)
+    return reduce(DataFrame.union, rounds)
+
+
 def unsafe(edges: DataFrame, objects: DataFrame) -> DataFrame:
     """(id, n_blockers): objects from which a live node that can't be reconstructed is reachable over DEPENDS_ON.
 
     Runs backwards from those blockers, through nodes of any state; a node that
     is no object can't be reconstructed.
     """
-    depends = edges.filter("kind = 'DEPENDS_ON'").select("parent_id", "child_id")
-    child = objects.select(F.col("id").alias("start"), F.col("recompute_cost").isNotNull().alias("remade"), (F.col("lifecycle_state") == "RECLAIMED").alias("dead"))
-    nodes = depends.select(F.col("child_id").alias("start")).distinct()
-    blockers = nodes.join(child, "start", "left").filter(~F.coalesce("remade", F.lit(False)) & ~F.coalesce("dead", F.lit(False))).select("start")
+    depends, blockers = _dependencies(edges, objects)
     return closure(depends, blockers, reverse=True).filter("start <> node").groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("n_blockers"))
 
 

@@ -17,8 +17,8 @@ def dependency_values(objects: DataFrame, lineage: DataFrame) -> DataFrame:
     return lineage.filter("kind = 'DEPENDS_ON'").join(child, "child_id", "left").filter(blocking).groupBy(F.col("parent_id").alias("id")).agg((F.count(F.lit(1)).cast("double") * DEPENDENT_VALUE).alias("dependency_value"))
 
 
-def with_context(objects: DataFrame, replicas: DataFrame, archives: DataFrame, lineage: DataFrame) -> DataFrame:
-    """``objects`` with n_replicas, n_archives, dependency_value and survivability_value.
+def with_context(objects: DataFrame, replicas: DataFrame, archives: DataFrame, lineage: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``objects``, of the ``known`` ones, with n_replicas, n_archives, dependency_value and survivability_value.
 
     The counts are aggregated before they are joined; the four joins share the
     objects' partitioning by id.
@@ -29,7 +29,7 @@ def with_context(objects: DataFrame, replicas: DataFrame, archives: DataFrame, l
     return (
         objects.join(valid, "id", "left")
         .join(kept, "id", "left")
-        .join(dependency_values(objects, lineage), "id", "left")
+        .join(dependency_values(objects if known is None else known, lineage), "id", "left")
         .withColumns({n: F.coalesce(n, F.lit(0)) for n in ("n_replicas", "n_archives")})
         .withColumns({"dependency_value": F.coalesce("dependency_value", F.lit(0.0)), "survivability_value": F.when(F.col("n_replicas") + F.col("n_archives") > 0, copies).otherwise(0.0)})
     )
@@ -37,8 +37,8 @@ def with_context(objects: DataFrame, replicas: DataFrame, archives: DataFrame, l
 
 def plan(objects: DataFrame, replicas: DataFrame, archives: DataFrame, lineage: DataFrame, policies: DataFrame, level: str = "NORMAL", epoch: int = 1, strict: bool = True) -> DataFrame:
     """Every object's decision.  If ``strict``, any invalid object fails the whole call; else invalid ones are left out (see ``rejected``)."""
-    objects = economics.require(objects, economics.object_problems(), "invalid object") if strict else objects.filter(F.size(economics.object_problems()) == 0)
-    context = with_context(objects, replicas, archives, lineage)
+    sound = economics.require(objects, economics.object_checks(), "invalid object") if strict else objects.filter(F.size(economics.object_problems()) == 0)
+    context = with_context(sound, replicas, archives, lineage, objects)
     return policy.decide(policy.resolve(context, policies, level, strict), level, PRESSURE[level], epoch)
 
 

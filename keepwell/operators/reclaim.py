@@ -20,7 +20,7 @@ def simulate(objects: DataFrame, replicas: DataFrame, archives: DataFrame, edges
     """(id, verdict, error, final_state) of reclaiming each object: preflight, verdict, survivability, transition, dependencies, in this order."""
     planned = planning.plan(objects, replicas, archives, edges, policies, level)
     checked = lifecycle.preflight(planned, reservations, now_ms).withColumnRenamed("error", "first_error")
-    blocked = lineage.unsafe(edges, objects).select("id", F.lit(True).alias("_blocked"))
+    blocked = lineage.unsafe_ids(edges, objects).withColumn("_blocked", F.lit(True))
     left = lifecycle.remaining_copies(F.col("n_replicas"), F.col("n_replicas"), F.col("n_archives"))
     c = F.col
     error = (
@@ -36,7 +36,7 @@ def simulate(objects: DataFrame, replicas: DataFrame, archives: DataFrame, edges
 
 def reclaimable(objects: DataFrame, replicas: DataFrame, archives: DataFrame, edges: DataFrame, policies: DataFrame, reservations: DataFrame, level: str = "NORMAL", now_ms: int = 0) -> DataFrame:
     """(id): the candidates that a reclamation would not refuse."""
-    return simulate(objects, replicas, archives, edges, policies, reservations, level, now_ms).filter("final_state = 'RECLAIMED' and error is null and verdict = 'RECLAIM'").join(objects.filter("lifecycle_state = 'RECLAIMED'").select("id"), "id", "left_anti").select("id")
+    return simulate(objects, replicas, archives, edges, policies, reservations, level, now_ms).filter("error is null and verdict = 'RECLAIM'").select("id")
 
 
 def insert(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:

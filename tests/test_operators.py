@@ -161,6 +161,7 @@ def test_random_graphs_against_brute_force(spark):
     blocks = lambda x: x not in state or not (state[x][0] or state[x][1])
     want = {str(i): sum(map(blocks, reach[i])) for i in range(n) if any(map(blocks, reach[i]))}
     assert {r.id: r.n_blockers for r in lineage.unsafe(graph(spark, edges), o).collect()} == want
+    assert sorted(r.id for r in lineage.unsafe_ids(graph(spark, edges), o).collect()) == sorted(want)
 
 
 def test_cycles_are_left_over(spark):
