@@ -31,6 +31,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from keepwell.llm.common import fold, fold_of, map_batches, stored
 
@@ -409,7 +410,7 @@ def score(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     docs = docs.select("doc_id", "text")
     model = spark.sparkContext.broadcast(train(docs.filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT), contexts))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     found = stored(map_batches(docs, blocks(lambda: model.value, id_type), BLOCK, rows=500))
     # As many shares as there are words of SHARE_WORDS in all blocks, so a share fits a task at any size.
