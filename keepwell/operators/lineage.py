@@ -35,9 +35,9 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, reverse: bool = F
     source, target = ("child_id", "parent_id") if reverse else ("parent_id", "child_id")
     e = _held(edges.select(F.col(source).alias("via"), F.col(target).alias("node")).dropna().distinct())
     first = e.select(F.col("via").alias("start"), "node")
-    if starts is not None:
-        first = first.join(starts.select("start").distinct(), "start", "left_semi")
-    frontier = _held(first)
+    if starts is None:
+        return _doubled(first)
+    frontier = _held(first.join(starts.select("start").distinct(), "start", "left_semi"))
     rounds = [frontier]
     while not frontier.isEmpty():
         known = reduce(DataFrame.union, rounds)
@@ -47,11 +47,24 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, reverse: bool = F
     return reduce(DataFrame.union, rounds)
 
 
-def descendants(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def _doubled(pairs: DataFrame) -> DataFrame:
+    """The closure of all pairs: each round joins what is new with all that is known, so rounds go with the logarithm of the depth."""
+    known = fresh = _held(pairs)
+    while not fresh.isEmpty():
+        on = known.select(F.col("start").alias("via"), F.col("node").alias("to"))
+        back = known.select(F.col("start").alias("from"), F.col("node").alias("via"))
+        step = fresh.withColumnRenamed("node", "via").join(on, "via").select("start", F.col("to").alias("node"))
+        behind = back.join(fresh.select(F.col("start").alias("via"), "node"), "via").select(F.col("from").alias("start"), "node")
+        fresh = _held(step.union(behind).distinct().join(known, ["start", "node"], "left_anti"))
+        known = _held(known.union(fresh))
+    return known
+
+
+def descendants(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     return closure(edges, starts).filter("start <> node")
 
 
-def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def ancestors(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     return closure(edges, starts, reverse=True).filter("start <> node")
 
 

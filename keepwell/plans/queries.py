@@ -374,9 +374,9 @@ def canonical_payload(d):
     return dedup.canonical(d.dedup)
 
 
-@query("dedup_release", "SELECT d.content_hash, d.backend, d.storage_key, d.ref_count - CASE WHEN d.ref_count % 2 = 1 THEN 1 ELSE 0 END AS ref_count, d.payload_size, d.ref_count = 1 AS last FROM dedup d")
+@query("dedup_release", "SELECT content_hash, backend, storage_key, ref_count - 1 AS ref_count, payload_size, ref_count = 1 AS last FROM dedup")
 def dedup_release(d):
-    return dedup.release(d.dedup, d.dedup.filter("ref_count % 2 = 1").select("content_hash", "backend"))
+    return dedup.release(d.dedup, d.dedup.select("content_hash", "backend"))
 
 
 @query("dedup_acquire", "SELECT content_hash, backend, storage_key, ref_count + 1 AS ref_count, payload_size FROM dedup")
@@ -395,9 +395,9 @@ def physical_delete_plan(d):
     return dedup.deletion_plan(d.scheduled, d.dedup)
 
 
-@query("corrupt_owners", "SELECT object_id, replica_id FROM payload_replicas WHERE (backend, key, content_hash) IN (SELECT (backend, key, content_hash) FROM payload_replicas WHERE object_id % 50 = 1)")
+@query("corrupt_owners", "SELECT object_id, replica_id FROM payload_replicas WHERE (backend, key, content_hash) IN (SELECT (backend, key, content_hash) FROM payload_replicas WHERE NOT valid)")
 def corrupt_owners(d):
-    return dedup.corrupt_owners(d.payload_replicas, d.payload_replicas.filter("object_id % 50 = 1"))
+    return dedup.corrupt_owners(d.payload_replicas, d.payload_replicas.filter("not valid"))
 
 
 @query("aliased_replicas", "SELECT DISTINCT replica_id FROM replicas r WHERE EXISTS (SELECT 1 FROM replicas x WHERE x.backend = r.backend AND x.key = r.key AND (x.content_hash <> r.content_hash OR x.size <> r.size))")
@@ -449,28 +449,24 @@ def compression_benefit(d):
 _CLOSURE = "WITH RECURSIVE reach(start, node) AS (SELECT {0}, {1} FROM {2} UNION SELECT r.start, e.{1} FROM reach r JOIN {2} e ON e.{0} = r.node) "
 
 
-def starts(d: Domain) -> DataFrame:
-    return d.objects.filter("id % 10 = 0").select(F.col("id").alias("start"))
-
-
 @query("lineage_orphans", "SELECT DISTINCT id FROM (SELECT parent_id AS id FROM lineage UNION ALL SELECT child_id FROM lineage) WHERE id NOT IN (SELECT id FROM objects)")
 def lineage_orphans(d):
     return lineage.orphans(d.lineage, d.objects)
 
 
-@query("lineage_descendants", _CLOSURE.format("parent_id", "child_id", "lineage_deep") + "SELECT start, node FROM reach WHERE start % 10 = 0")
+@query("lineage_descendants", _CLOSURE.format("parent_id", "child_id", "lineage_deep") + "SELECT start, node FROM reach")
 def lineage_descendants(d):
-    return lineage.descendants(d.lineage_deep, starts(d))
+    return lineage.descendants(d.lineage_deep)
 
 
-@query("lineage_ancestors", _CLOSURE.format("child_id", "parent_id", "lineage_deep") + "SELECT start, node FROM reach WHERE start % 10 = 0")
+@query("lineage_ancestors", _CLOSURE.format("child_id", "parent_id", "lineage_deep") + "SELECT start, node FROM reach")
 def lineage_ancestors(d):
-    return lineage.ancestors(d.lineage_deep, starts(d))
+    return lineage.ancestors(d.lineage_deep)
 
 
-@query("lineage_reaches", "SELECT id AS start, id + 7 AS target, id % 20 <= 12 AND id + 7 <= (SELECT max(child_id) FROM lineage_deep) AS reached FROM objects WHERE id % 3 = 0")
+@query("lineage_reaches", "SELECT id AS start, id + 7 AS target, id % 20 <= 12 AND id + 7 <= (SELECT max(child_id) FROM lineage_deep) AS reached FROM objects")
 def lineage_reaches(d):
-    return lineage.reaches(d.lineage_deep, d.objects.filter("id % 3 = 0").select(F.col("id").alias("start"), (F.col("id") + 7).alias("target")))
+    return lineage.reaches(d.lineage_deep, d.objects.select(F.col("id").alias("start"), (F.col("id") + 7).alias("target")))
 
 
 def _unsafe_sql(table: str) -> str:
@@ -485,6 +481,11 @@ def dependency_unsafe(d):
     return lineage.unsafe(d.lineage, d.objects)
 
 
+@query("lineage_descendants_of_pinned", _CLOSURE.format("parent_id", "child_id", "lineage_deep") + "SELECT start, node FROM reach WHERE start IN (SELECT id FROM objects WHERE pinned)")
+def lineage_descendants_of_pinned(d):
+    return lineage.descendants(d.lineage_deep, d.objects.filter("pinned").select(F.col("id").alias("start")))
+
+
 @query("dependency_unsafe_deep", _unsafe_sql("lineage_deep"))
 def dependency_unsafe_deep(d):
     return lineage.unsafe(d.lineage_deep, d.objects)
@@ -495,9 +496,9 @@ def dependent_count(d):
     return lineage.dependent_counts(d.lineage)
 
 
-@query("superseded", "SELECT DISTINCT parent_id AS id FROM lineage WHERE kind = 'SUPERSEDES' AND parent_id IN (SELECT id FROM objects WHERE id % 2 = 1) AND child_id IN (SELECT id FROM objects WHERE id % 2 = 1)")
+@query("superseded", "SELECT DISTINCT parent_id AS id FROM lineage WHERE kind = 'SUPERSEDES' AND parent_id IN (SELECT id FROM objects WHERE lifecycle_state = 'HOT') AND child_id IN (SELECT id FROM objects WHERE lifecycle_state = 'HOT')")
 def superseded(d):
-    return lineage.superseded(d.lineage, d.objects.filter("id % 2 = 1").select("id"))
+    return lineage.superseded(d.lineage, d.objects.filter("lifecycle_state = 'HOT'").select("id"))
 
 
 @query("lineage_neighbors", "SELECT parent_id AS id, child_id AS neighbour, kind, 'out' AS direction FROM lineage UNION ALL SELECT child_id, parent_id, kind, 'in' FROM lineage")
@@ -519,12 +520,12 @@ def lineage_topo_layers(d):
     "lineage_add_edges",
     """SELECT parent_id, child_id, kind, CASE WHEN parent_id % 30 = 5 THEN 'SELF_EDGE' WHEN parent_id % 30 = 6 THEN 'UNKNOWN_ENDPOINT' WHEN parent_id % 30 = 7 THEN 'CYCLE' WHEN parent_id % 30 = 8 THEN 'DUPLICATE' END AS problem FROM (
       SELECT parent_id, CASE WHEN parent_id % 30 = 5 THEN parent_id WHEN parent_id % 30 = 6 THEN -1 WHEN parent_id % 30 = 7 THEN parent_id - 2 WHEN parent_id % 30 = 8 THEN child_id ELSE child_id + 0 END AS child_id,
-      CASE WHEN parent_id % 30 = 9 THEN 'DERIVES_FROM' ELSE 'DEPENDS_ON' END AS kind FROM lineage_deep WHERE parent_id % 30 BETWEEN 5 AND 9 AND child_id IN (SELECT id FROM objects))""",
+      CASE WHEN parent_id % 30 BETWEEN 5 AND 8 THEN 'DEPENDS_ON' ELSE 'DERIVES_FROM' END AS kind FROM lineage_deep WHERE child_id IN (SELECT id FROM objects))""",
 )
 def lineage_add_edges(d):
     new = d.sql(
         """SELECT parent_id, CASE WHEN parent_id % 30 = 5 THEN parent_id WHEN parent_id % 30 = 6 THEN -1 WHEN parent_id % 30 = 7 THEN parent_id - 2 ELSE child_id END AS child_id,
-        CASE WHEN parent_id % 30 = 9 THEN 'DERIVES_FROM' ELSE 'DEPENDS_ON' END AS kind FROM lineage_deep WHERE parent_id % 30 BETWEEN 5 AND 9 AND child_id IN (SELECT id FROM objects)"""
+        CASE WHEN parent_id % 30 BETWEEN 5 AND 8 THEN 'DEPENDS_ON' ELSE 'DERIVES_FROM' END AS kind FROM lineage_deep WHERE child_id IN (SELECT id FROM objects)"""
     )
     return lineage.edge_problems(new, d.lineage_deep, d.objects)
 
@@ -544,15 +545,15 @@ def transition_check(d):
     return d.objects.select("id", lifecycle.transition(F.col("lifecycle_state"), F.expr(_WANTED)).alias("result"))
 
 
-@query("apply_transitions", "SELECT id, CASE WHEN lifecycle_state = 'HOT' AND id % 2 = 0 THEN 'WARM' ELSE lifecycle_state END AS lifecycle_state FROM objects")
+@query("apply_transitions", "SELECT id, CASE WHEN lifecycle_state = 'HOT' THEN 'WARM' ELSE lifecycle_state END AS lifecycle_state FROM objects")
 def apply_transitions(d):
-    changes = d.objects.filter("lifecycle_state = 'HOT' and id % 2 = 0").select("id", F.lit("WARM").alias("to_state"))
+    changes = d.objects.filter("lifecycle_state = 'HOT'").select("id", F.lit("WARM").alias("to_state"))
     return reclaim.apply_transitions(d.objects, changes, "operator", NOW)[0].select("id", "lifecycle_state")
 
 
-@query("transition_audit", "SELECT id AS object_id, 'HOT' AS prior_state, 'WARM' AS new_state FROM objects WHERE lifecycle_state = 'HOT' AND id % 2 = 0")
+@query("transition_audit", "SELECT id AS object_id, 'HOT' AS prior_state, 'WARM' AS new_state FROM objects WHERE lifecycle_state = 'HOT'")
 def transition_audit(d):
-    changes = d.objects.filter("id % 2 = 0 and lifecycle_state in ('HOT', 'WARM')").select("id", F.lit("WARM").alias("to_state"))
+    changes = d.objects.filter("lifecycle_state in ('HOT', 'WARM')").select("id", F.lit("WARM").alias("to_state"))
     return reclaim.apply_transitions(d.objects, changes, "operator", NOW)[1].select("object_id", "prior_state", "new_state")
 
 
@@ -600,10 +601,10 @@ def reclaimable(d):
 
 @query("deletable_objects", f"SELECT id FROM ({_REFS}) WHERE dependents = 0")
 def deletable_objects(d):
-    return reclaim.deletable(d.objects, d.replicas, d.lineage.filter("parent_id % 3 = 0 and child_id % 2 = 0"), d.archives)
+    return reclaim.deletable(d.objects, d.replicas, d.lineage.filter("kind = 'SUPERSEDES'"), d.archives)
 
 
-SQL["deletable_objects"] = "SELECT id FROM objects WHERE id NOT IN (SELECT object_id FROM replicas) AND id NOT IN (SELECT object_id FROM archives) AND id NOT IN (SELECT parent_id FROM lineage WHERE parent_id % 3 = 0 AND child_id % 2 = 0) AND id NOT IN (SELECT child_id FROM lineage WHERE parent_id % 3 = 0 AND child_id % 2 = 0)"
+SQL["deletable_objects"] = "SELECT id FROM objects WHERE id NOT IN (SELECT object_id FROM replicas) AND id NOT IN (SELECT object_id FROM archives) AND id NOT IN (SELECT parent_id FROM lineage WHERE kind = 'SUPERSEDES') AND id NOT IN (SELECT child_id FROM lineage WHERE kind = 'SUPERSEDES')"
 
 
 @query(
@@ -620,10 +621,10 @@ def pin_state(d):
     return reclaim.fold_pins(events)
 
 
-@query("object_upsert", "SELECT id, CASE WHEN id % 10 = 0 THEN 'changed' ELSE owner END AS owner FROM objects UNION ALL SELECT -id - 1, 'new' FROM objects WHERE id % 100 = 0")
+@query("object_upsert", "SELECT id, CASE WHEN durability_class = 'DURABLE' THEN 'changed' ELSE owner END AS owner FROM objects UNION ALL SELECT -id - 1, 'new' FROM objects WHERE pinned")
 def object_upsert(d):
-    changed = d.objects.filter("id % 10 = 0").withColumn("owner", F.lit("changed"))
-    new = d.objects.filter("id % 100 = 0").withColumns({"id": -F.col("id") - 1, "owner": F.lit("new")})
+    changed = d.objects.filter("durability_class = 'DURABLE'").withColumn("owner", F.lit("changed"))
+    new = d.objects.filter("pinned").withColumns({"id": -F.col("id") - 1, "owner": F.lit("new")})
     return reclaim.insert(reclaim.upsert(d.objects, changed, ["id"]), new, ["id"]).select("id", "owner")
 
 
@@ -632,7 +633,7 @@ def register_objects(d):
     c = F.col("id")
     durability = F.when(c % 4 == 3, "CRITICAL").otherwise("DURABLE")
     new = d.raw_objects.withColumns({"durability_class": durability, "payload_size": F.when(c % 7 == 1, F.col("logical_size") + 1).otherwise(F.col("logical_size")), "targets": F.array(F.lit("memory"), F.lit("memory"))})
-    return reclaim.registered(new, d.objects.filter("id % 2 = 0")).select("id", "error")
+    return reclaim.registered(new, d.objects.filter("durability_class in ('EPHEMERAL', 'DURABLE')")).select("id", "error")
 
 
 @query("attempt_get", "SELECT attempt_id, status FROM attempts WHERE attempt_id = 5")
@@ -640,9 +641,9 @@ def attempt_get(d):
     return scans.by_id(d.attempts, 5, "attempt_id").select("attempt_id", "status")
 
 
-@query("attempts_close", "SELECT attempt_id, CASE WHEN status = 'OPEN' AND attempt_id % 2 = 0 THEN 'COMMITTED' ELSE status END AS status FROM attempts")
+@query("attempts_close", "SELECT attempt_id, CASE WHEN status = 'OPEN' THEN 'COMMITTED' ELSE status END AS status FROM attempts")
 def attempts_close(d):
-    changes = d.attempts.filter("status = 'OPEN' and attempt_id % 2 = 0").select("attempt_id", F.lit("COMMITTED").alias("to_status"))
+    changes = d.attempts.filter("status = 'OPEN'").select("attempt_id", F.lit("COMMITTED").alias("to_status"))
     return reclaim.close_open(d.attempts.select("attempt_id", "status"), changes, "attempt_id")
 
 
@@ -657,10 +658,9 @@ def coordinator_takeover(d):
     return nodes.takeover(nodes.last_seen(d.heartbeats).withColumn("epoch", F.lit(1)), HEARTBEAT_NOW, 3_600_000).select("node_id", "free", "next_epoch")
 
 
-@query("edges_without_object", "SELECT parent_id, child_id, kind FROM lineage WHERE parent_id % 5 <> 0 AND child_id % 5 <> 0")
+@query("edges_without_object", "SELECT parent_id, child_id, kind FROM lineage WHERE parent_id NOT IN (SELECT id FROM objects WHERE lifecycle_state = 'RECLAIMED') AND child_id NOT IN (SELECT id FROM objects WHERE lifecycle_state = 'RECLAIMED')")
 def edges_without_object(d):
-    ends = d.sql("SELECT parent_id AS id FROM lineage UNION SELECT child_id AS id FROM lineage")
-    return lineage.without_object(d.lineage, ends.filter("id % 5 = 0"))
+    return lineage.without_object(d.lineage, d.objects.filter("lifecycle_state = 'RECLAIMED'").select("id"))
 
 
 @query("phase_changes", "SELECT attempt_id, CASE WHEN attempt_id % 2 = 0 THEN phase = 'RESERVED' ELSE phase IN ('PHYSICAL_STARTED', 'PHYSICAL_DONE') END AS ok FROM journal")
