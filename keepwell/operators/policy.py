@@ -22,9 +22,10 @@ TIERS = {
     "DEFAULT": (None, None),
 }
 SELECTORS = ("match_class", "match_owner", "match_pressure", "match_durability", "match_survivability")
+FIELDS = ("id", "version", "reclaim_threshold", "min_reuse_probability", *WEIGHTS)
+COLUMNS = {"policy_id": "id", "policy_version": "version", "threshold": "reclaim_threshold", "min_reuse_probability": "min_reuse_probability"} | {w: w for w in WEIGHTS}
 #: Policies up to which they are constants of the plan; more are joined.
 LITERAL = 200
-FIELDS = ("id", "version", "reclaim_threshold", "min_reuse_probability", *WEIGHTS)
 
 
 def full_id() -> Column:
@@ -86,28 +87,34 @@ def resolve(objects: DataFrame, policies: DataFrame, level: str, strict: bool =
 
     Tiers that depend on the pressure alone match every object or none.  More
     than one policy in the first tier that matches is an error if ``strict``.  An
-    object without any policy has null columns.
+    object without any policy has null columns.  policy_version becomes that of
+    the policy.
     """
     given = policies.select("kind", *SELECTORS, *FIELDS).limit(LITERAL + 1).collect()
-    out, found = _by_literals(objects, given, level) if len(given) <= LITERAL else _by_joins(objects, policies, level)
+    few = len(given) <= LITERAL
+    out, found = _by_literals(objects, given, level) if few else _by_joins(objects, policies, level)
     pick = lambda i: F.coalesce(*[F.when(f[1] > 0, f[i]) for f in found]) if found else F.lit(None)
-    tier = F.coalesce(*[F.when(n > 0, F.lit(t)) for t, n, _ in found])
-    out = out.withColumns({"tier": tier, "_n": pick(1), "_p": pick(2)})
+    tier = F.coalesce(*[F.when(n > 0, F.lit(t)) for t, n, _ in found]) if found else F.lit(None).cast("string")
+    out = out.withColumns({"tier": tier, "ambiguous": pick(1) > 1, "_p": pick(2)})
     if strict:
-        out = out.withColumn("_p", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("ambiguous policies: "), "tier"))).otherwise(F.col("_p")))
-    columns = {"policy_id": "id", "policy_version": "version", "threshold": "reclaim_threshold", "min_reuse_probability": "min_reuse_probability"} | {w: w for w in WEIGHTS}
-    return out.withColumns({"ambiguous": F.col("_n") > 1, **{k: F.col(f"_p.{v}") for k, v in columns.items()}}).drop("_n", "_p", *[f"_{x}_{t}" for t in TIERS for x in "np"])
+        out = out.withColumn("_p", F.when(F.col("ambiguous"), F.raise_error(F.concat(F.lit("ambiguous policies: "), "tier"))).otherwise(F.col("_p")))
+    if few:  # a policy's number becomes its columns by a join: as expressions they would be repeated in all that is computed from them
+        rows = [(i, *[p[f] for f in FIELDS]) for i, p in enumerate(given)]
+        types = ", ".join(f"{n} {'string' if f in ('id', 'version') else 'double'}" for n, f in COLUMNS.items())
+        table = objects.sparkSession.createDataFrame(rows, f"_p int, {types}")
+        return out.drop(*COLUMNS).withColumn("_p", F.col("_p").cast("int")).join(F.broadcast(table), "_p", "left").drop("_p")
+    return out.withColumns({n: F.col(f"_p.{f}") for n, f in COLUMNS.items()}).drop("_p", *[f"_{x}_{t}" for t in TIERS for x in "np"])
 
 
 def _by_literals(objects: DataFrame, given: list, level: str) -> tuple[DataFrame, list]:
-    """Few policies become constants of the plan: a map from what each tier matches to (n, policy), and no join at all."""
+    """Few policies become constants of the plan: a map from what each tier matches to (n, number of the policy)."""
     found = []
     for tier, (selector, column) in TIERS.items():
         groups: dict = {}
-        for p in given:
+        for i, p in enumerate(given):
             if p["kind"] == tier and (selector is None or p[selector] is not None) and (column is not None or selector is None or p[selector] == level):
-                groups.setdefault(p[selector] if column else None, []).append(p)
-        least = {k: (F.lit(len(v)).cast("bigint"), _literal(min(v, key=lambda p: tuple(p[f] for f in FIELDS)))) for k, v in groups.items()}
+                groups.setdefault(p[selector] if column else None, []).append(i)
+        least = {k: (F.lit(len(v)), F.lit(min(v, key=lambda i: tuple(given[i][f] for f in FIELDS)))) for k, v in groups.items()}
         if column is None:
             found += [(tier, n, p) for n, p in least.values()]
         elif least:
