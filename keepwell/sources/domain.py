@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -132,9 +133,18 @@ class Domain:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._views: dict[str, str] = {}
+
+    def _view(self, table: str) -> str:
+        """A temporary view of a table file, so that its schema is read once for all domain tables."""
+        if table not in self._views:
+            name = f"keepwell_{table}_{zlib.crc32(self.folder.encode()):08x}"
+            self.spark.read.parquet(f"{self.folder}/{table}.parquet").createOrReplaceTempView(name)
+            self._views[table] = name
+        return self._views[table]
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name not in DOMAIN:
+        if name.startswith("_") or name not in DOMAIN:
             raise AttributeError(name)
         return self.sql(f"SELECT * FROM {name}")
 
@@ -143,5 +153,6 @@ class Domain:
         body = [(n, DOMAIN[n].replace("{sha}(text)", "sha2(text, 256)").replace("{ms}", "unix_millis(CAST(ts AS TIMESTAMP))")) for n in tables]
         out = ("WITH " + ", ".join(f"{n} AS ({s})" for n, s in body) + " " if body else "") + text
         for t in STAR:
-            out = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 parquet.`{self.folder}/{t}.parquet`", out)
+            if re.search(rf"\b(FROM|JOIN)\s+{t}\b", out):
+                out = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {self._view(t)}", out)
         return self.spark.sql(out)
