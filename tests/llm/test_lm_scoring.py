@@ -122,3 +122,29 @@ def test_many_shares_and_blocks_change_nothing(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     monkeypatch.setattr(lm, "SHARE_WORDS", 500)
     check(docs, lm.score(docs).collect())
+
+
+def test_a_rare_context_stays_a_node_beside_much_other_text(spark, monkeypatch):
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    ids = [i for i in range(200) if fold(i) != 1][:40]
+    out = next(i for i in range(200) if fold(i) == 1)
+    rows = [(i, "x" * 3_000) for i in ids] + [(1000 + i, t) for i, t in enumerate(["abab abba abracadabra été", "the cat sat", None, ""]) if fold(1000 + i) != 1] + [(out, "abracadabra the été zz")]
+    train = [t for i, t in rows if i != out]
+    want = naive(train, [t for _, t in rows], 10**18)
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.allclose([got[i] for i, _ in rows], want, rtol=1e-5)
+    monkeypatch.setattr(lm, "SHARE_CODES", 20)
+    again = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.allclose([again[i] for i, _ in rows], want, rtol=1e-5)
+
+
+def test_chunks_cut_no_context_and_change_nothing(monkeypatch):
+    code, n = lm.block_strings(["abab abba abracadabra été", "the cat sat on the mat", "aaaa"], [False, False, True])
+    code, n = lm.merged([(code, n)])
+    above = np.full((256, 256), 0.5), np.full((256, 256), 0.25)
+    want = lm.string_scores(code, n, above)
+    monkeypatch.setattr(lm, "CHUNK", 3)
+    cut = list(lm.chunks(code))
+    assert len(cut) > 5 and np.concatenate([code[c] for c in cut]).tolist() == code.tolist()
+    assert all(code[a.stop - 1] >> 16 != code[b.start] >> 16 for a, b in zip(cut, cut[1:], strict=False))
+    assert np.allclose(lm.string_scores(code, n, above), want)
