@@ -36,10 +36,12 @@ D = len(VECTOR)
 SHARE = 0.75
 STEPS = 4
 LEAST = 200
-#: Deviations are at least these: statistics that most texts have at 0 still vary by one symbol, or by one passage that a short text repeats.
-FLOOR = (0.03, 0.2, 0.2, 0.03, 0.03, 0.03)
-#: Median of the chi-square distribution with D degrees of freedom, and the distance beyond which a text is rejected: its 1 - 1e-9 quantile.
-MEDIAN, CUTOFF = 5.348, 52.9
+#: Deviations are at least these: statistics that most texts have at 0 still vary by one symbol or one passage.
+FLOOR = (0.03, 0.1, 0.1, 0.03, 0.03, 0.03)
+#: Lines and words of the middle that shares of repetition are drawn towards: one line or passage that a short text repeats says little.
+FEW_LINES, FEW_WORDS = 20, 200
+#: Median of the chi-square distribution with D degrees of freedom, and the distance beyond which a text is rejected: its 0.999 quantile.
+MEDIAN, CUTOFF = 5.348, 22.46
 #: Groups whose estimates are broadcast (300 bytes each); with more the join shuffles.
 BROADCAST_GROUPS = 10_000
 
@@ -75,7 +77,7 @@ def vector(text: str | None, c: tuple[int, int, int, int, int]) -> tuple[float,
     upper, punct = (len(raw) - len(raw.translate(None, x)) for x in (_UPPER, _PUNCT))
     lines = (text or "").count("\n") + 1
     root = lambda k, of, more: (k / (of + more)) ** 0.5
-    return root(symbols, n, 20), root(dup, lines, 5), root(repeated, n, 20), float(np.log((chars + 100) / (n + 20))), root(upper, len(raw), 100), root(punct, len(raw), 100)
+    return root(symbols, n, 20), root(dup, lines, FEW_LINES), root(repeated, n, FEW_WORDS), float(np.log((chars + 100) / (n + 20))), root(upper, len(raw), 100), root(punct, len(raw), 100)
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:

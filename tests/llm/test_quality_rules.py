@@ -61,3 +61,16 @@ def test_small_groups_are_pooled(spark):
     groups, _ = qr.pooled(spark.createDataFrame(rows, ["grp", *qr.VECTOR]))
     got = {r.raw: r.grp for r in groups.collect()}
     assert got == {"en\x1fbig": "en\x1fbig", "en\x1fa": "en\x1f\x01", "en\x1fb": "en\x1f\x01", "de\x1fc": "\x01"}
+
+
+def test_either_kind_of_repetition_rejects_a_long_text(make):
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(2000)]
+    text = lambda n, sep=" ", of=2000: sep.join(words[i] for i in rng.integers(0, of, n))
+    rows = [(i, text(400 + i), "en", "s") for i in range(300)]
+    passage = text(245)
+    short = text(30)
+    rows += [(1000, text(400, "\n", 40), "en", "s"), (1001, f"{passage} {text(510)} {passage}", "en", "s"), (1002, f"{short}\n{text(80)}\n{short}", "en", "s")]
+    got = {r.doc_id: r for r in qr.op3(make(rows)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert not got[1000].kept and not got[1001].kept and got[1002].kept and sum(got[i].kept for i in range(300)) >= 297
