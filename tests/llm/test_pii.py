@@ -73,3 +73,12 @@ def test_query_against_brute_force(spark, sf):
         want = brute(texts[r.doc_id])
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w[0] == k for w in want) for k in pii.BASE]
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in want).encode()).hexdigest()
+
+
+def test_ibans_of_the_whole_registry():
+    for x in ("SA0380000000608010167519", "AE070331234567890123456", "TR330006100519786457841326", "IL620108000000099999999", "BR1800360305000010009795493C1", "SC18SSCB11010000000000001497USD"):
+        grouped = " ".join(x[i : i + 4] for i in range(0, len(x), 4))
+        for text in (f"pay {x}.", f"pay {grouped}, then"):
+            assert [(s.kind, text[s.start : s.end]) for s in pii.find(text) if s.kind == "iban"] == [("iban", text[4 : text.index(".") if "." in text else text.index(",")])]
+        wrong = x[:3] + str((int(x[3]) + 1) % 10) + x[4:]
+        assert not any(s.kind == "iban" for s in pii.find(wrong))
