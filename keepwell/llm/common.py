@@ -25,10 +25,13 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is configured."""
+    """The folder all executors share; one of our own only on a single machine where none is configured."""
     found = spark.sparkContext.getCheckpointDir()
     if found is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keepwell-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="keepwell-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
@@ -53,12 +56,30 @@ def give_back() -> None:
         trim(0)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``rows`` rows, so that long texts fit a worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``rows`` rows and ``size`` bytes; a row that is longer stands alone."""
+
+    def halved(b):
+        if len(b) > 1 and b.nbytes > size:
+            yield from halved(b.slice(0, len(b) // 2))
+            yield from halved(b.slice(len(b) // 2))
+        else:
+            yield b
+
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield from halved(b.slice(at, rows))
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000, size: int = 1 << 23) -> DataFrame:
+    """``mapInArrow`` whose function sees at most ``rows`` rows and about ``size`` bytes at once, so that long texts fit a worker.
+
+    Batches are cut up in the worker: the session's own batch size holds for every
+    plan of the session, and is read when a plan is made, not when it is written down.
+    """
 
     def run(batches):
-        yield from fn(batches)
+        yield from fn(sliced(batches, rows, size))
         give_back()
 
     return df.mapInArrow(run, schema)

@@ -32,7 +32,7 @@ AMBIGUOUS = 0.1
 #: Bytes whose n-grams a step holds.
 PIECE = 1 << 19
 
-LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTER = re.compile("[A-Za-z]")
 #: ASCII other than letters becomes a space; bytes of other characters stay.
 FOLDED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -60,6 +60,11 @@ def codewords(n: int) -> np.ndarray:
 # --- n-grams --------------------------------------------------------------------------------------
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is of a Unicode category of letters (L); numerals, marks and symbols aren't."""
+    return bool(text) and (ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
+
+
 def cleaned(text: str) -> bytes:
     return text.lower().encode().translate(FOLDED)
 
@@ -134,15 +139,34 @@ def margins(weights: np.ndarray, texts: list[bytes]) -> np.ndarray:
 # --- training -------------------------------------------------------------------------------------
 
 
-def classifiers(counts: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Log-odds by bin and bit; each language weighs the same on its side."""
-    share = (counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * BINS)
+def classifiers(counts: np.ndarray, total: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Log-odds by bin and bit, from counts by language and bin; each language weighs the same on its side."""
+    share = (counts + SMOOTHING) / (total[:, None] + SMOOTHING * BINS)
     one, zero = (code > 0).astype(float), (code < 0).astype(float)
     p1 = share.T @ (one / np.maximum(one.sum(axis=0), 1))
     p0 = share.T @ (zero / np.maximum(zero.sum(axis=0), 1))
     return np.where(zero.sum(axis=0) > 0, np.log(p1) - np.log(np.where(p0 > 0, p0, 1)), 1.0).astype(np.float32)
 
 
+def learned(counts: DataFrame, langs: list[str], totals: dict[str, int], code: np.ndarray) -> np.ndarray:
+    """The classifiers from rows (lang, bin, n).  Each bin's weights come from its own counts, so only the model itself, of BINS rows, reaches the driver."""
+    number, total = {x: i for i, x in enumerate(langs)}, np.array([totals[x] for x in langs], float)
+
+    def weigh(batches):
+        for b in batches:
+            table = np.zeros((len(langs), len(b)))
+            for i, found in enumerate(b.column("found").to_pylist()):
+                for f in found:
+                    table[number[f["lang"]], i] = f["n"]
+            yield pa.RecordBatch.from_arrays([b.column("bin"), pa.array([w.tobytes() for w in classifiers(table, total, code)], pa.binary())], ["bin", "weights"])
+
+    by_bin = counts.groupBy("bin").agg(F.collect_list(F.struct("lang", "n")).alias("found"))  # a bin has at most a row for each language
+    rows = map_batches(by_bin, weigh, "bin int, weights binary").toPandas()
+    out = classifiers(np.zeros((len(langs), 1)), total, code).repeat(BINS, axis=0)
+    out[rows["bin"].to_numpy(int)] = np.frombuffer(b"".join(rows["weights"]), np.float32).reshape(len(rows), -1)
+    return out
+
+
 def decode(f: np.ndarray, code: np.ndarray, scale: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(language number, score, ambiguous) of margins: the least weighted exponential loss, and how clearly it is the least."""
     z = np.clip(f / scale, -4, 4)
@@ -168,17 +192,16 @@ def identify(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out")
     learn = docs.select("text", "lang", held).filter("not held_out and lang is not null and text is not null").select("text", "lang")
-    counts = map_batches(learn, count_ngrams, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counts["lang"].unique(), key=lambda x: x.encode())
+    counts = stored(map_batches(learn, count_ngrams, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")))
+    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    langs = sorted(totals, key=lambda x: x.encode())
     code = codewords(len(langs))
-    table = np.zeros((len(langs), BINS))
-    table[counts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), counts["bin"].to_numpy(int)] = counts["n"]
-    shared = spark.sparkContext.broadcast(classifiers(table, code) if langs else np.zeros((BINS, 1), np.float32))
+    shared = spark.sparkContext.broadcast(learned(counts, langs, totals, code) if langs else np.zeros((BINS, 1), np.float32))
 
     def measure(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
-            letter = [bool(t and LETTER.search(t)) for t in texts]
+            letter = list(map(has_letter, texts))
             f = margins(shared.value, [cleaned(t) if ok else b"" for t, ok in zip(texts, letter, strict=True)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), b.column("lang"), pa.array(letter), pa.array(list(f), pa.list_(pa.float64()))], ["doc_id", "held_out", "lang", "letter", "f"])
 

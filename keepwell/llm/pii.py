@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -132,6 +133,23 @@ def ssns(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
+def free_of(taken: list[tuple[int, int]]):
+    """Whether a span overlaps none of ``taken``: with their union in order, only the last that starts before its end can."""
+    starts, ends = [], []
+    for s, e in sorted(taken):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+
+    def free(x: tuple[int, int]) -> bool:
+        i = bisect_left(starts, x[1]) - 1
+        return i < 0 or ends[i] <= x[0]
+
+    return free
+
+
 def context_score(text: str, kind: str, start: int, end: int) -> float:
     near = text[max(0, start - CONTEXT) : start].lower() + " " + text[end : end + CONTEXT // 2].lower()
     words = set(re.findall(r"[a-zà-ÿ]+", near))
@@ -156,8 +174,7 @@ def find(text: str | None, min_score: float = MIN_SCORE) -> list[Span]:
         out += [("card", *x) for x in numbers]
         if "+" in text:
             out += [("phone", *x) for x in phones(text)]
-        taken = [(s, e) for _, s, e in out]
-        free = lambda x: not any(x[0] < e and s < x[1] for s, e in taken)
+        free = free_of([(s, e) for _, s, e in out])
         out += [("iban", *x) for x in ibans(text)]
         out += [("ssn", *x) for x in ssns(text) if free(x)]
         out += [("card_short", *x) for x in cards(text, 13, 15) if free(x)]
@@ -212,6 +229,12 @@ def redact(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
 
 
 def op2(docs: DataFrame) -> DataFrame:
+    """doc_id, counts and digest of the base kinds, all spans, and their scores in the same order, for each row of ``docs``.
+
+    Null and empty texts have no spans: counts of 0, the digest of the empty
+    text, and empty strings.  Equal texts have equal values, repeated rows each
+    have their row, other columns are ignored, and an empty table has no rows.
+    """
     counts = [f"n_{k}" for k in BASE]
 
     def run(batches):
@@ -220,7 +243,8 @@ def op2(docs: DataFrame) -> DataFrame:
             cols = [b.column("doc_id"), *[pa.array([sum(x.kind == k for x in s) for s in spans], pa.int64()) for k in BASE]]
             cols.append(pa.array([hashlib.sha256(spelled([x for x in s if x.kind in BASE]).encode()).hexdigest() for s in spans]))
             cols.append(pa.array(list(map(spelled, spans)), pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *counts, "base_sha256", "spans"])
+            cols.append(pa.array([",".join(f"{x.score:.2f}" for x in s) for s in spans], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *counts, "base_sha256", "spans", "scores"])
 
     kinds = ", ".join(f"{c} bigint" for c in counts)
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kinds}, base_sha256 string, spans string")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kinds}, base_sha256 string, spans string, scores string")

@@ -82,3 +82,19 @@ def test_ibans_of_the_whole_registry():
             assert [(s.kind, text[s.start : s.end]) for s in pii.find(text) if s.kind == "iban"] == [("iban", text[4 : text.index(".") if "." in text else text.index(",")])]
         wrong = x[:3] + str((int(x[3]) + 1) % 10) + x[4:]
         assert not any(s.kind == "iban" for s in pii.find(wrong))
+
+
+def test_spans_that_overlap_taken_ones():
+    rng = random.Random(5)
+    for _ in range(300):
+        taken = [(s, s + rng.randint(1, 6)) for s in (rng.randint(0, 60) for _ in range(rng.randint(0, 8)))]
+        free = pii.free_of(taken)
+        for s in range(62):
+            for e in (s + 1, s + 4):
+                assert free((s, e)) == (not any(s < b and a < e for a, b in taken))
+    pii.find("4111111111111111 378282246310005 " * 20_000)
+
+
+def test_scores_follow_the_spans(make):
+    near, far = pii.op2(make([(1, "my card 4111111111111111", "en", "a"), (2, "zz 4111111111111111", "en", "a")])).orderBy("doc_id").collect()
+    assert (near.spans, near.scores, far.scores) == ("card:8:24", "1.00", "0.80")
