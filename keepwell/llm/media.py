@@ -19,11 +19,13 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from keepwell.llm.common import map_batches
 
@@ -33,8 +35,8 @@ FRAME = WIDTH * HEIGHT
 PAD = 192
 #: Histogram bins; a shot begins where the difference exceeds the running mean of the last WINDOW ones by SIGMAS deviations and LEAST.
 BINS, WINDOW, SIGMAS, LEAST = 16, 8, 3.0, 0.35
-#: Frames that are decoded in step.
-TOGETHER = 20_000
+#: Frames that are encoded, or decoded in step, at once: what a worker holds beside the files themselves is bounded by these.
+TOGETHER = 2_000
 
 # The zigzag order as a rule, Huffman symbols with their code lengths.
 ZIGZAG = np.array([r * 8 + c for r, c in sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))])
@@ -83,6 +85,13 @@ HEADER = frame_header(WIDTH, HEIGHT)
 
 def encode_frames(payload: np.ndarray) -> list[bytes]:
     """JPEG frames of (n, FRAME) bytes: each byte a code bit 0 (category 8) and its own eight bits."""
+    out: list[bytes] = []
+    for i in range(0, len(payload), TOGETHER):
+        out += _encoded(payload[i : i + TOGETHER])
+    return out
+
+
+def _encoded(payload: np.ndarray) -> list[bytes]:
     bits = np.zeros((len(payload), FRAME, 9), np.uint8)
     bits[:, :, 1:] = np.unpackbits(payload[:, :, None], axis=2)
     packed = np.packbits(bits.reshape(len(payload), -1), axis=1)
@@ -247,14 +256,14 @@ def write_avi(frames: list[bytes], width: int = WIDTH, height: int = HEIGHT, fps
     stream = b"vids" + b"MJPG" + struct.pack("<I2H8I4h", 0, 0, 0, 0, 1, fps, 0, len(frames), size, 0xFFFFFFFF, 0, 0, 0, width, height)
     picture = struct.pack("<IiiHH4sIiiII", 40, width, height, 1, 8, b"MJPG", width * height, 0, 0, 0, 0)
     header = chunk(b"LIST", b"hdrl" + chunk(b"avih", main) + chunk(b"LIST", b"strl" + chunk(b"strh", stream) + chunk(b"strf", picture)))
-    movie, index, at = [], [], 4
+    body, index, at = [], [], 4
     for f in frames:
-        c = chunk(b"00dc", f)
-        movie.append(c)
+        body += [struct.pack("<4sI", b"00dc", len(f)), f, b"\0" * (len(f) & 1)]
         index.append(struct.pack("<4s3I", b"00dc", 0x10, at, len(f)))
-        at += len(c)
-    body = b"AVI " + header + chunk(b"LIST", b"movi" + b"".join(movie)) + chunk(b"idx1", b"".join(index))
-    return chunk(b"RIFF", body)
+        at += 8 + len(f) + (len(f) & 1)
+    entries = chunk(b"idx1", b"".join(index))
+    total = 4 + len(header) + 8 + at + len(entries)
+    return b"".join([struct.pack("<4sI4s", b"RIFF", total, b"AVI "), header, struct.pack("<4sI4s", b"LIST", at, b"movi"), *body, entries])
 
 
 class Movie(NamedTuple):
@@ -264,8 +273,22 @@ class Movie(NamedTuple):
     frames: list[bytes]
 
 
+class Spans(NamedTuple):
+    """Where the frames of a file begin and how long they are."""
+
+    width: int
+    height: int
+    frame_us: int
+    frames: list[tuple[int, int]]
+
+
 def read_avi(raw: bytes) -> Movie:
     """The frames in the order of the index, or of the 'movi' list where there is none.  Raises ValueError for other files."""
+    m = frame_spans(raw)
+    return Movie(*m[:3], [raw[at : at + n] for at, n in m.frames])
+
+
+def frame_spans(raw: bytes) -> Spans:
     if len(raw) < 12 or raw[:4] != b"RIFF" or raw[8:12] != b"AVI ":
         raise ValueError("no AVI file")
     found: dict = {"frames": [], "index": []}
@@ -292,15 +315,15 @@ def read_avi(raw: bytes) -> Movie:
     video = [(o, n) for name, _, o, n in found["index"] if name[2:] in (b"dc", b"db")]
     if video:  # offsets count from the list's name, or from the file's beginning
         base = begin if raw[begin + video[0][0] : begin + video[0][0] + 4][2:] in (b"dc", b"db") else 0
-        frames = [raw[base + o + 8 : base + o + 8 + n] for o, n in video]
+        frames = [(base + o + 8, n) for o, n in video]
     else:
         frames, at = [], begin + 4
         while at + 8 <= stop:
             name, size = raw[at : at + 4], struct.unpack_from("<I", raw, at + 4)[0]
             if name[2:] in (b"dc", b"db"):
-                frames.append(raw[at + 8 : at + 8 + size])
+                frames.append((at + 8, size))
             at += 8 + size + (size & 1)
-    return Movie(found["width"], found["height"], found["frame_us"], frames)
+    return Spans(found["width"], found["height"], found["frame_us"], frames)
 
 
 # --- shots ----------------------------------------------------------------------------------------
@@ -348,31 +371,41 @@ class Decoded(NamedTuple):
     frame_us: int
 
 
-def decode_movies(files: list[bytes]) -> list[Decoded | None]:
-    """Coefficients and histograms of each file's frames; None for files that can't be decoded."""
-    movies: list[Movie | None] = []
-    groups: dict[tuple, list[tuple[int, int, Parsed]]] = {}
-    out: list[list | None] = []
-    for i, raw in enumerate(files):
+def spans_of(files: list[bytes]) -> list[Spans | None]:
+    out: list[Spans | None] = []
+    for raw in files:
         try:
-            m = read_avi(raw)
-            for j, f in enumerate(m.frames):
-                p = parse_jpeg(f)
-                groups.setdefault(p[:5], []).append((i, j, p))
+            out.append(frame_spans(raw))
         except (ValueError, KeyError, IndexError, struct.error):
-            m = None
-        movies.append(m)
-        out.append(m and [None] * len(m.frames))
-    for head, members in groups.items():
-        members = [x for x in members if movies[x[0]] is not None]
-        for a in range(0, len(members), TOGETHER):
-            part = members[a : a + TOGETHER]
-            for some, c in attempted(part):
-                h = histograms(samples(c, head[2], head[0], head[1]))
-                for k, (i, j, _) in enumerate(some):
-                    out[i][j] = c[k], h[k]
+            out.append(None)
+    return out
+
+
+def decode_runs(files: list[bytes], spans: list[Spans | None]):
+    """(file, frame, coefficients, histogram) of the frames that can be decoded, TOGETHER of them in step; those with one head are in order."""
+    frames = ((i, j, at, n) for i, m in enumerate(spans) if m for j, (at, n) in enumerate(m.frames))
+    while run := list(islice(frames, TOGETHER)):
+        groups: dict[tuple, list[tuple[int, int, Parsed]]] = {}
+        for i, j, at, n in run:
+            try:
+                p = parse_jpeg(files[i][at : at + n])
+            except (ValueError, KeyError, IndexError, struct.error):
+                continue
+            groups.setdefault(p[:5], []).append((i, j, p))
+        for head, members in groups.items():
+            for some, c in attempted(members):
+                for (i, j, _), one, h in zip(some, c, histograms(samples(c, head[2], head[0], head[1])), strict=True):
+                    yield i, j, one, h
+
+
+def decode_movies(files: list[bytes]) -> list[Decoded | None]:
+    """Coefficients and histograms of each file's frames; None for files that can't be decoded."""
+    spans = spans_of(files)
+    out: list[list] = [[None] * len(m.frames) if m else [] for m in spans]
+    for i, j, c, h in decode_runs(files, spans):
+        out[i][j] = c, h
     result: list[Decoded | None] = []
-    for m, frames in zip(movies, out, strict=True):
+    for m, frames in zip(spans, out, strict=True):
         if m is None or any(f is None for f in frames) or len({f[0].shape for f in frames}) > 1:
             result.append(None)
         else:
@@ -381,6 +414,27 @@ def decode_movies(files: list[bytes]) -> list[Decoded | None]:
     return result
 
 
+def film(files: list[bytes]) -> list[tuple[list[Clip], str | None]]:
+    """The clips of each file, from histograms alone, and why there are none where it can't be decoded."""
+    spans = spans_of(files)
+    hist = [np.zeros((len(m.frames) if m else 0, BINS), np.int64) for m in spans]
+    done = [0] * len(files)
+    for i, j, _, h in decode_runs(files, spans):
+        hist[i][j] = h
+        done[i] += 1
+    out: list[tuple[list[Clip], str | None]] = []
+    for m, h, n in zip(spans, hist, done, strict=True):
+        if m is None:
+            out.append(([], "no AVI file"))
+        elif n < len(h):
+            out.append(([], "frames that aren't greyscale baseline JPEG without restarts"))
+        elif len(set(h.sum(axis=1).tolist())) > 1:
+            out.append(([], "frames of several sizes"))
+        else:
+            out.append((clips_of(h, m.frame_us), None))
+    return out
+
+
 def attempted(members: list):
     """(members, coefficients): all at once, or each alone if one is broken."""
     try:
@@ -416,21 +470,35 @@ def stored_bytes(coefficients: np.ndarray) -> bytes:
 def clips(media: DataFrame, id_column: str = "id", media_column: str = "media") -> DataFrame:
     """id, clip, first_frame, n_frames, start_ms, end_ms for each shot of each AVI file of ``media`` (an id and a binary column).
 
-    Null, broken and other files, and files without frames, give no rows.
+    Null files and files without frames give no rows.  A file that can't be
+    decoded (colour, progressive or arithmetic frames, restart intervals, or no
+    AVI at all) gives none here; ``unreadable`` names it.
     """
     kind = media.schema[id_column].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             ids, rows = b.column(id_column).to_pylist(), []
-            for i, d in zip(ids, decode_movies([x or b"" for x in b.column(media_column).to_pylist()]), strict=True):
-                rows += [(i, k, *c) for k, c in enumerate(clips_of(d.hist, d.frame_us))] if d else []
+            for i, (found, _) in zip(ids, film([x or b"" for x in b.column(media_column).to_pylist()]), strict=True):
+                rows += [(i, k, *c) for k, c in enumerate(found)]
             cols = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(id_column).type), *[pa.array(c, pa.int64()) for c in cols[1:]]], ["id", "clip", "first_frame", "n_frames", "start_ms", "end_ms"])
 
     return map_batches(media.select(id_column, media_column), run, f"id {kind}, clip bigint, first_frame bigint, n_frames bigint, start_ms bigint, end_ms bigint", rows=100)
 
 
+def unreadable(media: DataFrame, id_column: str = "id", media_column: str = "media") -> DataFrame:
+    """id, problem for each file of ``media`` that isn't null and can't be decoded."""
+    kind = media.schema[id_column].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            bad = [(k, why) for k, (_, why) in enumerate(film(b.column(media_column).to_pylist())) if why]
+            yield pa.RecordBatch.from_arrays([b.column(id_column).take(pa.array([k for k, _ in bad], pa.int64())), pa.array([why for _, why in bad], pa.string())], ["id", "problem"])
+
+    return map_batches(media.select(id_column, media_column).filter(F.col(media_column).isNotNull()), run, f"id {kind}, problem string", rows=100)
+
+
 def encode(docs: DataFrame) -> DataFrame:
     """doc_id, media (an AVI file that holds the padded text) for each row of ``docs`` (doc_id, text); null counts as empty."""
 
@@ -441,35 +509,54 @@ def encode(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, media binary", rows=200)
 
 
+def digests(texts: list[str | None]) -> list[tuple]:
+    """For each text, through its file: n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, clips.
+
+    Beside the texts and their files, only TOGETHER frames are held decoded.
+    """
+    sizes = [len((t or "").encode()) for t in texts]
+    payloads = [payload(t) for t in texts]
+    frames = encode_frames(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, FRAME))
+    files, at = [], 0
+    for p in payloads:
+        files.append(write_avi(frames[at : at + len(p) // FRAME]))
+        at += len(p) // FRAME
+    del payloads, frames
+    spans = spans_of(files)
+    back, tails, n_back = [hashlib.sha256() for _ in files], [b""] * len(files), [0] * len(files)
+    hist = [np.zeros((len(m.frames), BINS), np.int64) for m in spans]
+    for i, j, c, h in decode_runs(files, spans):  # in order, for all frames have one head
+        part = stored_bytes(c[None])
+        back[i].update(part)
+        tails[i], n_back[i] = part[-16:], n_back[i] + len(part)
+        hist[i][j] = h
+    out = []
+    for file, m, sha, tail, n, h, size in zip(files, spans, back, tails, n_back, hist, sizes, strict=True):
+        shots, levels = clips_of(h, m.frame_us), h.sum(axis=0)
+        mean = int((levels * np.arange(BINS)).sum() * 1000 // levels.sum())
+        feature = f"frames={len(h)};shots={len(shots)};longest_ms={max(c.end_ms - c.start_ms for c in shots)};mean_level={mean}"
+        out.append((size, n, sha.hexdigest(), zlib.crc32(tail), len(file), hashlib.sha256(file).hexdigest(), feature, ",".join(f"{c.start_ms}-{c.end_ms}" for c in shots)))
+    return out
+
+
 def op6(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``; null and empty texts are one frame of spaces; other columns are ignored."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    """One row for each row of ``docs`` (doc_id, text), with the timed clips of its file as text.
+
+    Null and empty texts are one frame of spaces; equal texts have equal values;
+    repeated rows each have their row; other columns are ignored; an empty table
+    has no rows.
+    """
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
 
     def run(batches):
         for b in batches:
-            texts = b.column("text").to_pylist()
-            payloads = [payload(t) for t in texts]
-            all_frames = encode_frames(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, FRAME))
-            files, at = [], 0
-            for p in payloads:
-                n = len(p) // FRAME
-                files.append(write_avi(all_frames[at : at + n]))
-                at += n
-            cols: list[list] = [[] for _ in names[1:]]
-            for t, file, d in zip(texts, files, decode_movies(files), strict=True):
-                back = stored_bytes(d.coefficients)
-                shots = clips_of(d.hist, d.frame_us)
-                levels = d.hist.sum(axis=0)
-                mean = int((levels * np.arange(BINS)).sum() * 1000 // levels.sum())
-                feature = f"frames={len(d.hist)};shots={len(shots)};longest_ms={max(c.end_ms - c.start_ms for c in shots)};mean_level={mean}"
-                row = (len((t or "").encode()), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature)
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
+            cols = list(zip(*digests(b.column("text").to_pylist()), strict=True))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, pa.string() if isinstance(c[0], str) else pa.int64()) for c in cols]], names)
 
     return map_batches(
         docs.select("doc_id", "text"),
         run,
-        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
-        rows=200,
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, clips string",
+        rows=1000,
+        size=1 << 21,
     )

@@ -173,3 +173,24 @@ def test_query(spark, sf, odd, none):
     same = [r for r in m.op6(odd).collect() if r.doc_id in (6, 7)]
     assert len({r.media_sha256 for r in same}) == len({r.feature for r in same}) == 1
     assert m.op6(none).count() == 0 and m.clips(m.encode(none), "doc_id").count() == 0
+
+
+def test_memory_of_one_long_text():
+    """64 MB of text in a fresh process; what its frames take isn't multiplied."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import resource; from keepwell.llm import media as m; r = m.digests(['some words, ' * 5_592_405]); print(r[0][0], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, check=True)
+    n, peak = map(int, done.stdout.split())
+    assert n > 64 * 2**20 - 100 and peak < 1000
+
+
+def test_unreadable_files_are_named(make, spark):
+    good = m.store(bytes(192))
+    media = spark.createDataFrame([(1, good), (2, b"RIFF"), (3, None), (4, good.replace(b"\xff\xc0", b"\xff\xc2"))], "id long, media binary")
+    assert {r.id: r.problem for r in m.unreadable(media).collect()} == {2: "no AVI file", 4: "frames that aren't greyscale baseline JPEG without restarts"}
+    assert [(r.id, r.clip, r.start_ms, r.end_ms) for r in m.clips(media).collect()] == [(1, 0, 0, 40)]
+    (row,) = m.op6(make([(1, "a" * 192 * 3, "en", "a")])).collect()
+    assert row.clips == "0-120"
