@@ -1,16 +1,24 @@
 """Operator 3: quality rules with robust multivariate outliers.
 
 Counts over the words of a text give two fixed rules and a vector of
-variance-stabilised statistics.  Per language and source, the minimum-covariance
--determinant estimate of the vectors' centre and scatter is sought by
-concentration steps from coordinatewise medians: each step takes the ``SHARE``
-of vectors that are nearest by Mahalanobis distance and computes their mean and
-covariance.  Texts whose squared distance exceeds ``CUTOFF`` are rejected.
-
-Every step is two aggregations by group over the stored vectors, with partial
-sums, so a group that holds a third of the rows costs no more than others.
-Groups of fewer than ``LEAST`` rows are pooled by language, and what is still
-too small in one group.
+variance-stabilised statistics.  Per language and source, the estimate of the
+vectors' centre and scatter is that of the ``SHARE`` of them whose covariance
+has the least determinant.  It is sought from several starts at once (medians
+and median deviations, all vectors, single vectors drawn by hash) by
+concentration steps: each takes the nearest share by Mahalanobis distance and
+computes its mean and covariance.  Steps go on until no determinant falls any
+more, and of the starts the one with the least is taken.  Texts whose squared
+distance exceeds ``CUTOFF`` are rejected.
+
+A step is one pass over the stored vectors: counts, sums and products are
+aggregated by group, start and bin of the distance, and the share is cut from
+the bins, the last one in part.  Bins, not sketches: a group's rows are summed
+in every task before anything meets, and what meets is bounded by the number of
+bins, so a group that holds a third of the rows costs no more than others.
+
+A group needs more than ``OWN`` rows for an estimate of its own, which then
+depends on its rows alone.  A smaller one is judged by that of all rows of its
+language, if those are enough, else by that of all rows.
 """
 
 from __future__ import annotations
@@ -20,7 +28,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepwell.llm.common import map_batches, stored
@@ -34,7 +42,13 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 VECTOR = ("v_symbols", "v_dup_lines", "v_repeats", "v_length", "v_upper", "v_punct")
 D = len(VECTOR)
 SHARE = 0.75
-STEPS = 4
+#: Rows beyond which a group has its own estimate; a covariance of D statistics has D (D + 1) / 2 entries.
+OWN = 5 * D
+#: Starts that are single vectors; steps at most, and the fall of a log-determinant from which on they stop.
+DRAWN, STEPS, SETTLED = 3, 20, 1e-2
+#: Bins for each unit of a statistic, and for each doubling of a distance from NEAREST on.
+FINE, OCTAVE, NEAREST = 256, 16, 2.0**-10
+#: Rows of a group for ``pooled``, which estimates don't use unless they are given its groups.
 LEAST = 200
 #: Deviations are at least these: statistics that most texts have at 0 still vary by one symbol or one passage.
 FLOOR = (0.03, 0.1, 0.1, 0.03, 0.03, 0.03)
@@ -42,7 +56,7 @@ FLOOR = (0.03, 0.1, 0.1, 0.03, 0.03, 0.03)
 FEW_LINES, FEW_WORDS = 20, 200
 #: Median of the chi-square distribution with D degrees of freedom, and the distance beyond which a text is rejected: its 0.999 quantile.
 MEDIAN, CUTOFF = 5.348, 22.46
-#: Groups whose estimates are broadcast (300 bytes each); with more the join shuffles.
+#: Groups whose estimates are broadcast (300 bytes for each start); with more the join shuffles.
 BROADCAST_GROUPS = 10_000
 
 _UPPER = string.ascii_uppercase.encode()
@@ -107,14 +121,28 @@ PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 ESTIMATE = ", ".join([f"c{i} double" for i in range(D)] + [f"p{i}_{j} double" for i, j in PAIRS])
 
 
+# Long expressions are spelled as SQL: one call to the JVM instead of one for each operation.
+_DIFF = [f"({v} - c{i})" for i, v in enumerate(VECTOR)]
+#: Squared Mahalanobis distance of the vector columns from c*, with the precision p*.
+DISTANCE = " + ".join(f"{_DIFF[i]} * {_DIFF[j]} * p{i}_{j}" + ("" if i == j else " * 2D") for i, j in PAIRS)
+DISTANCE_BIN = f"cast(floor(log2({DISTANCE} + {NEAREST!r}D) * {OCTAVE}) as int)"
+SUM_NAMES = [*[f"m{i}" for i in range(D)], *[f"s{i}_{j}" for i, j in PAIRS]]
+SUMS = [*VECTOR, *[f"{VECTOR[i]} * {VECTOR[j]}" for i, j in PAIRS]]
+
+
 def distance() -> Column:
-    """Squared Mahalanobis distance of the vector columns from c*, with the precision p*."""
-    diff = [F.col(v) - F.col(f"c{i}") for i, v in enumerate(VECTOR)]
-    return sum((diff[i] * diff[j] * F.col(f"p{i}_{j}") * (1.0 if i == j else 2.0) for i, j in PAIRS), F.lit(0.0))
+    return F.expr(DISTANCE)
+
+
+def sums_of() -> list[Column]:
+    return [F.expr(f"sum({x}) as {n}") for x, n in zip(SUMS, SUM_NAMES, strict=True)]
+
+
+FIT = f"grp string, start int, {ESTIMATE}, logdet double, before double"
 
 
 def fit(batches):
-    """Rows (grp, n, m0.., s0_0..) of sums become centres and precisions."""
+    """Rows (grp, start, n, m0.., s0_0.., before) of sums become centres, precisions and log-determinants."""
     for b in batches:
         get = lambda name: np.array(b.column(name).to_pylist(), np.float64)  # noqa: B023, E731
         n = get("n")
@@ -122,9 +150,10 @@ def fit(batches):
         cov = np.zeros((len(n), D, D))
         for i, j in PAIRS:
             cov[:, i, j] = cov[:, j, i] = get(f"s{i}_{j}") / n - mean[:, i] * mean[:, j]
-        precision = np.linalg.inv(cov + np.diag(np.square(FLOOR))) if len(n) else cov
-        cols = [b.column("grp"), *[pa.array(mean[:, i]) for i in range(D)], *[pa.array(precision[:, i, j]) for i, j in PAIRS]]
-        yield pa.RecordBatch.from_arrays(cols, ["grp", *[f"c{i}" for i in range(D)], *[f"p{i}_{j}" for i, j in PAIRS]])
+        cov += np.diag(np.square(FLOOR))
+        precision = np.linalg.inv(cov) if len(n) else cov
+        cols = [b.column("grp"), b.column("start"), *[pa.array(mean[:, i]) for i in range(D)], *[pa.array(precision[:, i, j]) for i, j in PAIRS], pa.array(np.linalg.slogdet(cov)[1].reshape(-1)), b.column("before")]
+        yield pa.RecordBatch.from_arrays(cols, ["grp", "start", *[f"c{i}" for i in range(D)], *[f"p{i}_{j}" for i, j in PAIRS], "logdet", "before"])
 
 
 def beside(rows: DataFrame, estimates: DataFrame, n_groups: int) -> DataFrame:
@@ -132,34 +161,86 @@ def beside(rows: DataFrame, estimates: DataFrame, n_groups: int) -> DataFrame:
     return rows.join(F.broadcast(estimates) if n_groups <= BROADCAST_GROUPS else estimates, "grp")
 
 
+def language(grp: Column) -> Column:
+    """The group of all rows of a language."""
+    return F.concat(F.substring_index(grp, "\x1f", 1), F.lit("\x1f\x01"))
+
+
+EVERYTHING = "\x01"
+
+
 def pooled(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(raw, grp): which group each language and source belongs to; and the number of groups."""
+    """(raw, grp): coarser groups for ``estimates``, of at least LEAST rows: what is smaller is put together by language, and what is still smaller in one; and the number of groups."""
     sizes = vectors.groupBy(F.col("grp").alias("raw")).agg(F.count(F.lit(1)).alias("n"))
-    lang = F.concat(F.substring_index("raw", "\x1f", 1), F.lit("\x1f\x01"))
-    first = sizes.withColumn("grp", F.when(F.col("n") >= LEAST, F.col("raw")).otherwise(lang))
+    first = sizes.withColumn("grp", F.when(F.col("n") >= LEAST, F.col("raw")).otherwise(language(F.col("raw"))))
     size = first.groupBy("grp").agg(F.sum("n").alias("total"))
-    groups = stored(first.join(size, "grp").select("raw", F.when(F.col("total") >= LEAST, F.col("grp")).otherwise(F.lit("\x01")).alias("grp")))
+    groups = stored(first.join(size, "grp").select("raw", F.when(F.col("total") >= LEAST, F.col("grp")).otherwise(F.lit(EVERYTHING)).alias("grp")))
     return groups, groups.count()
 
 
-def estimates(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(raw, c*, p*, scale) for each language and source in ``vectors`` (grp and the vector columns); and their number."""
-    groups, n = pooled(vectors)
-    rows = stored(beside(vectors.select(F.col("grp").alias("raw"), *VECTOR).withColumn("grp", F.col("raw")), groups.select(F.col("raw").alias("grp"), F.col("grp").alias("pool")), n).select(F.col("pool").alias("grp"), *VECTOR))
-
-    centre = rows.groupBy("grp").agg(*[F.percentile_approx(v, 0.5, 2000).alias(f"c{i}") for i, v in enumerate(VECTOR)])
-    spread = [F.percentile_approx(F.abs(F.col(v) - F.col(f"c{i}")), 0.5, 2000) for i, v in enumerate(VECTOR)]
-    start = beside(rows, centre, n).groupBy("grp").agg(*[F.first(f"c{i}").alias(f"c{i}") for i in range(D)], *[s.alias(f"d{i}") for i, s in enumerate(spread)])
-    now = stored(start.select("grp", *[f"c{i}" for i in range(D)], *[(F.lit(1.0) / (F.pow(F.col(f"d{i}") * 1.4826, 2) + FLOOR[i] ** 2) if i == j else F.lit(0.0)).alias(f"p{i}_{j}") for i, j in PAIRS]))
-
+def judges(vectors: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(raw, grp) with the group by which each language and source is judged, the same with every group that its rows take part in, and the number of languages and sources."""
+    sizes = vectors.groupBy(F.col("grp").alias("raw")).agg(F.count(F.lit(1)).alias("n")).withColumn("lang", language(F.col("raw")))
+    totals = sizes.groupBy("lang").agg(F.sum("n").alias("total"), F.min("n").alias("least"))
+    both = stored(sizes.join(totals, "lang").select("raw", "lang", F.when(F.col("n") > OWN, F.col("raw")).when(F.col("total") > OWN, F.col("lang")).otherwise(F.lit(EVERYTHING)).alias("grp"), ((F.col("least") <= OWN) & (F.col("total") > OWN)).alias("shared")))
+    counted = both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("grp") == EVERYTHING).alias("rest")).first()
+    parts = F.array_distinct(F.array_compact(F.array(F.col("grp"), F.when(F.col("shared"), F.col("lang")), F.when(F.lit(counted["rest"] > 0), F.lit(EVERYTHING)))))
+    return both.select("raw", "grp"), both.select("raw", F.explode(parts).alias("grp")), counted["n"]
+
+
+def middle(binned: DataFrame, by: list[str], bin_: str) -> DataFrame:
+    """(by, bin, before, n, total): the bin that holds the middle row of rows (by, bin, n)."""
+    up_to, all_ = Window.partitionBy(*by).orderBy(bin_), Window.partitionBy(*by)
+    cum = binned.withColumns({"cum": F.sum("n").over(up_to), "total": F.sum("n").over(all_)})
+    return cum.filter("2 * cum >= total and 2 * (cum - n) < total").select(*by, bin_, (F.col("cum") - F.col("n")).alias("before"), "n", "total")
+
+
+def starts(rows: DataFrame, n: int) -> DataFrame:
+    """Estimates (as ``fit`` gives them) that the steps begin with."""
+    binned = stored(rows.select("grp", F.expr(f"posexplode(array({', '.join(VECTOR)})) as (i, v)")).groupBy("grp", "i", F.expr(f"floor(v * {FINE}) as bin")).agg(F.expr("count(1) as n")))
+    medians = middle(binned, ["grp", "i"], "bin").selectExpr("grp", "i", "bin as median")
+    apart = binned.join(medians, ["grp", "i"]).groupBy("grp", "i", F.expr("abs(bin - median) as apart")).agg(F.expr("sum(n) as n"))
+    floors = ", ".join(f"{f * f!r}D" for f in FLOOR)
+    spread = middle(apart, ["grp", "i"], "apart").selectExpr("grp", "i", f"1 / (pow((apart + 0.5D) / {FINE} * 1.4826D, 2) + element_at(array({floors}), i + 1)) as p")
+    one = lambda i, c: f"max(case when i = {i} then {c} end)"
+    centres, precisions = [f"c{i}" for i in range(D)], [f"p{i}_{j}" for i, j in PAIRS]
+    wide = medians.join(spread, ["grp", "i"]).groupBy("grp").agg(*[F.expr(f"({one(i, 'median')} + 0.5D) / {FINE} as c{i}") for i in range(D)], *[F.expr(f"{one(i, 'p') if i == j else '0D'} as p{i}_{j}") for i, j in PAIRS])
+    columns = ", ".join(VECTOR)
+    sums = stored(rows.groupBy("grp").agg(F.expr("cast(count(1) as double) as n"), *sums_of(), F.expr(f"array({', '.join(f'min_by(struct({columns}), xxhash64({k}, {columns}))' for k in range(DRAWN))}) as drawn")))
+    first = wide.selectExpr("grp", "0 as start", *centres, *precisions)
+    drawn = sums.join(wide.select("grp", *precisions), "grp").selectExpr("grp", "posexplode(drawn) as (k, v)", *precisions).selectExpr("grp", "k + 2 as start", *[f"v.{v} as c{i}" for i, v in enumerate(VECTOR)], *precisions)
+    never = "double('infinity')"
+    given = first.unionByName(drawn).selectExpr("*", f"{never} as logdet", f"{never} as before")
+    mean = map_batches(sums.selectExpr("grp", "1 as start", "n", *SUM_NAMES, f"{never} as before"), fit, FIT).selectExpr("grp", "start", *centres, *precisions, f"{never} as logdet", "before")
+    return stored(given.unionByName(mean))
+
+
+def concentrated(rows: DataFrame, now: DataFrame, n: int) -> DataFrame:
+    """The estimates that the nearest share of each group by ``now`` gives."""
+    sums = beside(rows, now, n).groupBy("grp", "start", F.expr(f"{DISTANCE_BIN} as bin")).agg(F.expr("count(1) as n"), F.expr("first(logdet) as before"), *sums_of())
+    left = f"ceil(sum(n) over (partition by grp, start) * {SHARE}D) - (sum(n) over (partition by grp, start order by bin) - n)"
+    taken = sums.selectExpr("*", f"least(1D, ({left}) / n) as part").filter("part > 0")
+    share = taken.groupBy("grp", "start").agg(F.expr("sum(part * n) as n"), F.expr("first(before) as before"), *[F.expr(f"sum(part * {c}) as {c}") for c in SUM_NAMES])
+    return stored(map_batches(share, fit, FIT))
+
+
+def estimates(vectors: DataFrame, pools: tuple[DataFrame, int] | None = None) -> tuple[DataFrame, int]:
+    """(raw, c*, p*, scale) for each language and source in ``vectors`` (grp and the vector columns); and their number.  ``pools`` are other groups, as ``pooled`` gives them."""
+    groups, parts, n = judges(vectors) if pools is None else (pools[0], *pools)
+    rows = beside(vectors.select(F.col("grp").alias("raw"), *VECTOR).withColumn("grp", F.col("raw")), parts.select(F.col("raw").alias("grp"), F.col("grp").alias("part")), n)
+    rows = stored(rows.select(F.col("part").alias("grp"), *VECTOR))
+    now = starts(rows, n)
     for _ in range(STEPS):
-        far = stored(beside(rows, now, n).groupBy("grp").agg(F.percentile_approx(distance(), SHARE, 2000).alias("far")))
-        nearest = beside(rows, now.join(far, "grp"), n).filter(distance() <= F.col("far"))
-        sums = nearest.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"m{i}") for i, v in enumerate(VECTOR)], *[F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"s{i}_{j}") for i, j in PAIRS])
-        now = stored(map_batches(sums, fit, f"grp string, {ESTIMATE}"))
+        now = concentrated(rows, now, n)
+        fall = now.agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        if fall is None or fall < SETTLED:
+            break
+    least = now.groupBy("grp").agg(F.min_by(F.struct("start", *[f.name for f in now.schema if f.name[0] in "cp"]), F.struct("logdet", "start")).alias("e"))
+    best = stored(least.select("grp", "e.*"))
     # Half of the vectors are nearer than the median of the chi-square distribution.
-    scale = beside(rows, now, n).groupBy("grp").agg(F.greatest(F.lit(1.0), F.percentile_approx(distance(), 0.5, 2000) / MEDIAN).alias("scale"))
-    return stored(groups.join(now.join(scale, "grp"), "grp").drop("grp")), n
+    half = middle(beside(rows, best, n).groupBy("grp", F.expr(f"{DISTANCE_BIN} as bin")).agg(F.expr("count(1) as n")), ["grp"], "bin")
+    at = F.pow(F.lit(2.0), (F.col("bin") + (F.col("total") / 2 - F.col("before")) / F.col("n")) / OCTAVE) - NEAREST
+    return stored(groups.join(best.join(half.select("grp", F.greatest(F.lit(1.0), at / MEDIAN).alias("scale")), "grp"), "grp").drop("grp", "start")), n
 
 
 def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), cutoff: float = CUTOFF) -> DataFrame:
@@ -167,12 +248,12 @@ def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), cutoff: float =
 
     Null and empty texts have no words, which fails the base rules.  A null
     language or source is a value of its own.  Equal texts of one language and
-    source are judged alike.  An empty table gives an empty result.
+    source are judged alike.  An empty table gives an empty result.  Texts are
+    read once; what is kept of a row is stored beside its statistics.
     """
-    vectors = statistics(docs, ())
-    slim = stored(vectors.select("grp", *VECTOR))
-    found, n = estimates(slim)
-    return _judged(statistics(docs, keep), found, n, keep, cutoff)
+    stats = stored(statistics(docs, keep))
+    found, n = estimates(stats.select("grp", *VECTOR))
+    return _judged(stats, found, n, keep, cutoff)
 
 
 def _judged(stats: DataFrame, found: DataFrame, n: int, keep: tuple[str, ...], cutoff: float) -> DataFrame:
@@ -192,6 +273,5 @@ def clean(docs: DataFrame) -> DataFrame:
 
 
 def op3(docs: DataFrame) -> DataFrame:
-    stats = stored(statistics(docs))
-    found, n = estimates(stats.select("grp", *VECTOR))
-    return _judged(stats, found, n, ("doc_id",), CUTOFF)
+    """``judged`` for each row: doc_id, counts, base_failed, distance, kept; nulls, ties and empty tables as stated there."""
+    return judged(docs)
