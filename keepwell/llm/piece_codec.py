@@ -14,16 +14,21 @@ to each at its end.  Matrices are combined associatively along the document,
 which settles the state at each cut, and then every chunk finds its own pieces
 independently.
 
-The scores are those of the given model's pieces, read as a unigram model.  For
-the public BPE file this is its vocabulary's best segmentation, not its merges
-(``token_counts`` counts those).  Characters without a piece are spelled in byte
-pieces; they weigh nothing, for no segmentation can avoid them.
+The scores are those of the given model's pieces, read as a unigram model.  The
+public file is a BPE, whose scores are only the order of its merges.  Nothing is
+trained here: ``model_bytes`` gives each piece the log-probability that the law
+of Zipf and Mandelbrot assigns to its rank, and writes that down as a unigram
+model, which the library reads too.  Characters without a piece are spelled in
+byte pieces; they weigh nothing, for no segmentation can avoid them.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import struct
 import zlib
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -33,8 +38,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keepwell.llm import token_counts
 from keepwell.llm.common import map_batches, stored
-from keepwell.llm.token_counts import MARK, model_bytes, processor
+from keepwell.llm.token_counts import MARK, processor
 
 SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 #: Documents with more code points are cut into chunks of so many.
@@ -47,10 +53,87 @@ TIE, TIE_BITS = (1 << 18) - 1, 24
 #: Characters with the most continuations have a column of their own in the table of transitions.
 COLUMNS = 160
 
+#: Offset of the law of ranks, and units of a score: whole numbers, whose sums are exact.
+OFFSET, UNITS = 100, 4096
+#: Chunks whose matrices one task multiplies.
+FAN = 64
+#: Shifts of scores above tie marks in whole segments of any length; characters after which chunks are tried for a common path.
+HIGH, TRIED = 40, 256
+
 Weight = tuple[int, int]
 NONE: Weight = (-(1 << 62), 0)
 
 
+# --- the model file ---------------------------------------------------------------------------------
+
+
+def number_at(raw: bytes, at: int) -> tuple[int, int]:
+    """A base-128 number of a protocol buffer, and what follows it."""
+    value = shift = 0
+    while True:
+        b = raw[at]
+        value, shift, at = value | (b & 127) << shift, shift + 7, at + 1
+        if b < 128:
+            return value, at
+
+
+def number(value: int) -> bytes:
+    out = bytearray()
+    while value > 127:
+        out.append(value & 127 | 128)
+        value >>= 7
+    return bytes([*out, value])
+
+
+def fields(raw: bytes) -> list[tuple[int, bytes]]:
+    """(key, body) of a message's fields: bodies of texts and messages without their lengths, numbers as written."""
+    out, at = [], 0
+    while at < len(raw):
+        key, at = number_at(raw, at)
+        kind = key & 7
+        if kind == 2:
+            size, at = number_at(raw, at)
+            end = at + size
+        else:
+            end = at + (8 if kind == 1 else 4) if kind in (1, 5) else number_at(raw, at)[1]
+        out.append((key, raw[at:end]))
+        at = end
+    return out
+
+
+def message(parts: list[tuple[int, bytes]]) -> bytes:
+    return b"".join(number(key) + (number(len(body)) if key & 7 == 2 else b"") + body for key, body in parts)
+
+
+# Keys of the format's fields: pieces and the trainer's settings; a piece's score and type; the settings' model type.
+PIECE, SETTINGS, SCORE, TYPE, MODEL_TYPE = 1 << 3 | 2, 2 << 3 | 2, 2 << 3 | 5, 3 << 3, 3 << 3
+NORMAL, USER_DEFINED, UNIGRAM = 1, 4, 1
+
+
+def unigram(bpe: bytes) -> bytes:
+    """The BPE model ``bpe`` as a unigram model: a score of -r, the rank of a merge, becomes -log(r + OFFSET), in whole units."""
+    out = []
+    for key, body in fields(bpe):
+        if key == PIECE:
+            parts = fields(body)
+            own = dict(parts)
+            if number_at(own.get(TYPE, b"\x01"), 0)[0] in (NORMAL, USER_DEFINED):
+                rank = -struct.unpack("<f", own.get(SCORE, bytes(4)))[0]
+                parts = [p for p in parts if p[0] != SCORE] + [(SCORE, struct.pack("<f", round(-math.log(max(rank, 0) + OFFSET) * UNITS)))]
+            body = message(parts)
+        elif key == SETTINGS:
+            body = message([p for p in fields(body) if p[0] != MODEL_TYPE] + [(MODEL_TYPE, number(UNIGRAM))])
+        out.append((key, body))
+    return message(out)
+
+
+def model_bytes(path: str | None = None) -> bytes:
+    """The unigram model of the BPE file at ``path``, by default of the public one; a file that is a unigram model stays as it is."""
+    raw = token_counts.model_bytes(path)
+    settings = dict(fields(dict(fields(raw)).get(SETTINGS, b"")))
+    return raw if number_at(settings.get(MODEL_TYPE, b"\x01"), 0)[0] == UNIGRAM else unigram(raw)
+
+
 class Vocabulary(NamedTuple):
     """ids: every prefix of a piece, with its id or -1; spelling: UTF-8 of each id, marks as spaces."""
 
@@ -143,9 +226,10 @@ class Trie:
         chars = sorted(usual, key=lambda c: -usual[c])
         number = {c: i for i, c in enumerate(chars)}
         self.size, self.n_chars = min(COLUMNS, len(chars)), len(chars)
-        #: Number of each code point; those without a piece of their own have -1.
-        self.number = np.full(0x110000, -1, np.int32)
+        #: Number of each code point, -1 for those in no piece; likewise, with -1 for those without a piece of their own.
+        self.any, self.number = np.full(0x110000, -1, np.int32), np.full(0x110000, -1, np.int32)
         for c, i in number.items():
+            self.any[ord(c)] = i
             if v.ids.get(c, -1) >= 0:
                 self.number[ord(c)] = i
         self.dense = np.zeros((len(nodes), self.size), np.int32)
@@ -170,6 +254,48 @@ class Trie:
             out[rare] = np.where(self.keys[at] == key, self.to[at], 0)
         return out
 
+    def matches(self, text: str, core: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of every piece in ``text`` that starts before ``core``, in order of start, then end; and whether each of those characters is a piece."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars, n = self.any[points], len(text)
+        alive, node, found = np.arange(core), np.zeros(core, np.int32), []
+        for size in range(1, longest + 1):
+            if size > 1:
+                more = alive + size <= n
+                alive, node = alive[more], node[more]
+            c = chars[alive + size - 1]
+            node = np.where(c >= 0, self.step(node, np.maximum(c, 0)), 0)
+            alive, node = alive[node > 0], node[node > 0]
+            if not len(alive):
+                break
+            p = self.piece[node]
+            found.append((alive[p >= 0], np.full(int((p >= 0).sum()), size), p[p >= 0]))
+        start, size, piece = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(start, kind="stable")
+        return start[order], (start + size)[order], piece[order], self.number[points[:core]] >= 0
+
+    def search(self, text: str, core: int, begin: dict[int, int], rel: int, longest: int) -> tuple[list[int | None], list[tuple[int, int] | None]]:
+        """``best_paths`` from several positions with given weights, each a score above HIGH bits of tie marks: all pieces are found at once, and one pass takes the best."""
+        start, end, piece, single = self.matches(text, core, longest)
+        add = (self.scores[piece] << HIGH) + ((piece * 2654435761 ^ (rel + start + 1) * 40503) & TIE)
+        first = np.searchsorted(start, np.arange(core + 1)).tolist()
+        end, piece, add, single = end.tolist(), piece.tolist(), add.tolist(), single.tolist()
+        best: list[int | None] = [None] * (len(text) + 1)
+        edge: list[tuple[int, int] | None] = [None] * (len(text) + 1)
+        for i, w in begin.items():
+            best[i] = w
+        for i in range(min(begin), core):
+            w = best[i]
+            if w is None:
+                continue
+            for k in range(first[i], first[i + 1]):
+                j, new = end[k], w + add[k]
+                if (old := best[j]) is None or new > old:
+                    best[j], edge[j] = new, (i, piece[k])
+            if not single[i] and ((old := best[i + 1]) is None or w > old):
+                best[i + 1], edge[i + 1] = w, (i, -1)
+        return best, edge
+
     def solve(self, segments: list[str], longest: int) -> list[bytes | None]:
         """Ids of segments of at most LONGEST characters; None for those with a character without a piece.
 
@@ -255,7 +381,7 @@ class Codec:
             self.ids.update(zip(part, self.trie.solve(part, self.v.longest), strict=True))
         for s in rest:
             if self.ids.get(s) is None:  # long, or with a character without a piece
-                edge = best_paths(self.v, s, len(s), 0, 0)[1]
+                edge = self.trie.search(s, len(s), {0: 0}, 0, self.v.longest)[1]
                 self.ids[s] = np.array(path_ids(self.v, s, edge, 0, len(s)), np.int32).tobytes()
         return [s for s in rest if len(s) > LONGEST]
 
@@ -314,11 +440,7 @@ class Codec:
         first, last = self.parts(core, look, rel)
         matrix = [[NONE] * size for _ in range(size)]
         if first < 0:
-            text = core + look
-            for i in range(min(size, n)):
-                w = best_paths(self.v, text, n, i, rel)[0]
-                matrix[i][: len(text) - n + 1] = w[n : n + size]
-            return matrix
+            return self.through(core, look, rel)
         # Every path through the chunk has these pieces, so their tie marks don't matter.
         middle = (int(self.scores[np.frombuffer(b"".join(map(self.ids.__getitem__, SEGMENT.findall(core[first:last]))), np.int32)].sum()), 0)
         end = best_paths(self.v, core[last:] + look, n - last, 0, 0)[0][n - last :]
@@ -328,13 +450,50 @@ class Codec:
                 matrix[i][: len(end)] = [plus(plus(head, middle), e) for e in end[:size]]
         return matrix
 
+    def through(self, core: str, look: str, rel: int) -> list[list[Weight]]:
+        """``transfer`` of a chunk in which no segment begins.
+
+        The paths of all states soon run through the same positions.  From where
+        every row of the matrix so far is another plus a constant, they go on
+        alike, and one search does for all.
+        """
+        text, n, size = core + look, len(core), self.v.longest
+        search = lambda a, b, begin: self.trie.search(text[a : b + size - 1], b - a, begin, rel + a, size)[0]
+        rows: list[dict[int, int]] = [{i: 0} if i < n else {} for i in range(size)]  # by position, from ``at`` on
+        at = 0
+        while at < n:
+            to = min(n, at + TRIED)
+            given = [r for r in rows if r]
+            apart = [{j: w - min(r.values()) for j, w in r.items()} for r in given]
+            if at and all(r == apart[0] for r in apart):
+                least = [min(r.values()) if r else None for r in rows]
+                w = search(at, n, {j - at: x for j, x in apart[0].items()})
+                ends = {at + j: x for j, x in enumerate(w) if x is not None and at + j >= n}
+                rows = [{} if low is None else {j: low + x for j, x in ends.items()} for low in least]
+                break
+            new: list[dict[int, int]] = []
+            for r in rows:
+                inside = {j - at: x for j, x in r.items() if j < to}
+                w = search(at, to, inside) if inside else []
+                out = {at + j: x for j, x in enumerate(w) if x is not None and at + j >= to}
+                for j, x in r.items():  # states that reach beyond this stretch
+                    if j >= to and (j not in out or x > out[j]):
+                        out[j] = x
+                new.append(out)
+            rows, at = new, to
+        matrix = [[NONE] * size for _ in range(size)]
+        for i, r in enumerate(rows):
+            for j, w in r.items():
+                matrix[i][j - n] = (w >> HIGH, w & ((1 << HIGH) - 1))
+        return matrix
+
     def chunk_ids(self, core: str, look: str, rel: int, i: int, j: int) -> bytes:
         """The ids of a chunk's pieces, given the states at its begin and end.  ``middles`` comes first."""
         n = len(core)
         first, last = self.parts(core, look, rel)
         if first < 0:
             text = core + look
-            return np.array(path_ids(self.v, text, best_paths(self.v, text, n, i, rel)[1], i, n + j), np.int32).tobytes()
+            return np.array(path_ids(self.v, text, self.trie.search(text, n, {i: 0}, rel, self.v.longest)[1], i, n + j), np.int32).tobytes()
         head, tail = core[:first], core[last:] + look
         return b"".join(
             [
@@ -354,6 +513,16 @@ def times(a: list[list[Weight]], b: list[list[Weight]]) -> list[list[Weight]]:
     return [[max(plus(a[i][k], b[k][j]) for k in range(len(b))) for j in range(len(b[0]))] for i in range(len(a))]
 
 
+def product(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``times`` of matrices as arrays of scores and tie marks."""
+    none = NONE[0]
+    lost = (a[0] == none)[:, :, None] | (b[0] == none)[None, :, :]
+    score = np.where(lost, none, a[0][:, :, None] + b[0][None, :, :])
+    mark = np.where(lost, 0, a[1][:, :, None] + b[1][None, :, :])
+    best = score.max(axis=1)
+    return best, np.where(score == best[:, None, :], mark, -1).max(axis=1)
+
+
 def safe_between(left: str, right: str) -> bool:
     return left == "\n" or right == "\n" or (right == MARK and left != MARK)
 
@@ -395,13 +564,13 @@ def cut(text: str, size: int, overlap: int):
         begin = end
 
 
-def settle(matrices: list[list[list[Weight]]]) -> list[int]:
-    """The state at each cut, both ends included, on the best way through all chunks."""
+def settle(matrices: list[list[list[Weight]]], begin: int = 0, end: int = 0) -> list[int]:
+    """The state at each cut, both ends included, on the best way through all chunks from one state to another."""
     size = len(matrices[0])
-    reach = [[(0, 0), *[NONE] * (size - 1)]]
+    reach = [[(0, 0) if i == begin else NONE for i in range(size)]]
     for m in matrices:
         reach.append(times([reach[-1]], m)[0])
-    states = [0]
+    states = [end]
     for before, m in zip(reverse(reach[:-1]), reverse(matrices), strict=True):
         states.append(max(range(size), key=lambda k: (plus(before[k], m[k][states[-1]]), -k)))  # noqa: B023
     return states[::-1]
@@ -503,15 +672,8 @@ def encode_giant(docs: DataFrame, model, kind: str, chunk: int) -> DataFrame:
             c.forget(long)
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("k"), *[pa.array([[w[i] for w in m] for m in flat], pa.list_(pa.int64())) for i in (0, 1)]], ["row", "k", "scores", "ties"])
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        ms = [unflat(s, t) for s, t in zip(pdf["scores"], pdf["ties"], strict=True)]
-        states = settle(ms)
-        weights = [m[i][j][0] for m, i, j in zip(ms, states, states[1:], strict=False)]
-        return pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "i": states[:-1], "j": states[1:], "score": weights})
-
-    measured = map_batches(chunks.select("row", "k", "core", "look", "rel"), matrices, "row bigint, k int, scores array<bigint>, ties array<bigint>", rows=64)
-    settled = measured.groupBy("row").applyInPandas(scan, "row bigint, k int, i int, j int, score bigint")
+    measured = stored(map_batches(chunks.select("row", "k", "core", "look", "rel"), matrices, MATRIX, rows=64))
+    settled = scanned(measured)
 
     def pieces(batches):
         c = codec(model.value)
@@ -527,6 +689,53 @@ def encode_giant(docs: DataFrame, model, kind: str, chunk: int) -> DataFrame:
     return whole.select("doc_id", F.flatten(F.col("parts.ids")).alias("ids"), "score")
 
 
+MATRIX = "row bigint, k int, scores array<bigint>, ties array<bigint>"
+
+
+def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Up to FAN neighbouring matrices of a document become one: their product."""
+    pdf = pdf.sort_values("k")
+    arrays = [square(s, t) for s, t in zip(pdf["scores"], pdf["ties"], strict=True)]
+    score, mark = reduce(product, arrays)
+    return pd.DataFrame({"row": [pdf["row"].iloc[0]], "k": [pdf["k"].iloc[0] // FAN], "scores": [score.ravel()], "ties": [mark.ravel()]})
+
+
+def between(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The states at the cuts among up to FAN neighbours, given those before (i) and after (j) them all."""
+    pdf = pdf.sort_values("k")
+    ms = [unflat(s, t) for s, t in zip(pdf["scores"], pdf["ties"], strict=True)]
+    states = settle(ms, int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]))
+    weights = [m[i][j][0] for m, i, j in zip(ms, states, states[1:], strict=False)]
+    return pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "i": states[:-1], "j": states[1:], "score": weights})
+
+
+def scanned(measured: DataFrame) -> DataFrame:
+    """(row, k, i, j, score): the states at both ends of each chunk, from rows as MATRIX says.
+
+    Matrices are multiplied in rounds of FAN neighbours until a document has one
+    of at most FAN; from the outermost states back down, each round settles the
+    cuts within.  No task has more than FAN matrices, however long a document.
+    """
+    rounds, last = [measured], measured.agg(F.max("k")).first()[0] or 0
+    up = (F.col("k") / FAN).cast("int")
+    while last >= FAN:
+        rounds.append(stored(rounds[-1].groupBy("row", up.alias("up")).applyInPandas(combine, MATRIX)))
+        last //= FAN
+    states = None
+    for level in reversed(rounds):
+        if states is None:
+            level = level.withColumns({"up": F.lit(0), "i": F.lit(0), "j": F.lit(0)})
+        else:
+            level = level.withColumn("up", up).join(states.select("row", F.col("k").alias("up"), "i", "j"), ["row", "up"])
+        states = level.groupBy("row", "up").applyInPandas(between, "row bigint, k int, i int, j int, score bigint")
+    return states
+
+
+def square(scores, ties) -> tuple[np.ndarray, np.ndarray]:
+    size = round(len(scores) ** 0.5)
+    return np.array(scores, np.int64).reshape(size, size), np.array(ties, np.int64).reshape(size, size)
+
+
 def unflat(scores, ties) -> list[list[Weight]]:
     size = round(len(scores) ** 0.5)
     flat = [(int(s), int(t)) for s, t in zip(scores, ties, strict=True)]

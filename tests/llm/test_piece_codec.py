@@ -146,3 +146,54 @@ def test_round_trip(spark, sf, odd, none):
     assert whole == sorted((r.doc_id or -1, r.ids, r.score) for r in pc.encode(odd, chunk=100).collect())
     assert pc.op7(none).count() == 0 and pc.decode(pc.encode(none)).count() == 0
     assert all(r.n_tokens == len(r.ids) for r in pc.op7(odd).collect())
+
+
+def test_the_written_model_is_the_librarys():
+    """It loads the unigram model, whose best segmentations and total of tokens are ours; scores are whole numbers of the ranks alone."""
+    from keepwell.llm import token_counts
+
+    bpe, sp = token_counts.processor(token_counts.model_bytes()), sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    assert pc.model_bytes() == pc.unigram(token_counts.model_bytes()) and sp.get_piece_size() == bpe.get_piece_size()
+    for i in range(0, sp.get_piece_size(), 37):
+        assert sp.id_to_piece(i) == bpe.id_to_piece(i) and sp.get_score(i) == CODEC.v.scores[i] and (not bpe.is_byte(i) or CODEC.v.scores[i] == 0)
+
+
+def test_token_totals_are_near_those_of_the_merges(spark, sf):
+    from keepwell.llm import token_counts
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    mine = pc.op7(docs).groupBy().sum("n_tokens").first()[0]
+    merges = token_counts.count_tokens(docs).groupBy().sum("n_tokens").first()[0]
+    assert abs(mine / merges - 1) < 0.03
+
+
+def test_the_quick_search_is_the_scalar_one():
+    rng = random.Random(6)
+    for trial in range(400):
+        text = pc.marked(random_text(rng, trial % 3))
+        core, begin, rel = rng.randint(1, len(text)), 0, rng.randint(0, 9)
+        begin = rng.randint(0, core - 1)
+        weights, edges = pc.best_paths(CODEC.v, text, core, begin, rel)
+        w, e = CODEC.trie.search(text, core, {begin: 0}, rel, CODEC.v.longest)
+        assert e == edges and [None if x is None else (x >> pc.HIGH, x & ((1 << pc.HIGH) - 1)) for x in w] == [None if x == pc.NONE or x[0] <= pc.NONE[0] else x for x in weights]
+
+
+def test_one_unbroken_text_in_many_chunks(spark, make):
+    rng = random.Random(8)
+    text = "".join(rng.choice("theinasrou") for _ in range(20 * 700 + 5))
+    ids, scores = CODEC.encode([text])
+    assert chunked(text, 700) == (ids[0], scores[0])
+    spread = "".join(rng.choice(["the ", "in", "as", "\n", "é", "x"]) for _ in range(9000))
+    both = pc.encode(make([(1, text, "en", "a"), (2, spread, "en", "a")]), chunk=64)
+    want = dict(zip((1, 2), CODEC.encode([text, spread])[0], strict=True))
+    for r in both.collect():  # hundreds of chunks: two rounds of products
+        assert np.array(r.ids, np.int32).tobytes() == want[r.doc_id]
+
+
+def test_products_of_arrays():
+    rng = random.Random(3)
+    for _ in range(50):
+        a, b = ([[rng.choice([pc.NONE, (rng.randint(-9, 0), rng.randint(0, 5))]) for _ in range(4)] for _ in range(4)] for _ in range(2))
+        flat = lambda m: tuple(np.array([[w[i] for w in row] for row in m]) for i in (0, 1))
+        got = pc.product(flat(a), flat(b))
+        assert [[tuple(w) for w in zip(s, t, strict=True)] for s, t in zip(*(x.tolist() for x in got), strict=True)] == pc.times(a, b)
