@@ -460,27 +460,23 @@ class Codec:
         text, n, size = core + look, len(core), self.v.longest
         search = lambda a, b, begin: self.trie.search(text[a : b + size - 1], b - a, begin, rel + a, size)[0]
         rows: list[dict[int, int]] = [{i: 0} if i < n else {} for i in range(size)]  # by position, from ``at`` on
-        at = 0
+        at, tried = 0, TRIED
         while at < n:
-            to = min(n, at + TRIED)
-            given = [r for r in rows if r]
-            apart = [{j: w - min(r.values()) for j, w in r.items()} for r in given]
-            if at and all(r == apart[0] for r in apart):
-                least = [min(r.values()) if r else None for r in rows]
-                w = search(at, n, {j - at: x for j, x in apart[0].items()})
-                ends = {at + j: x for j, x in enumerate(w) if x is not None and at + j >= n}
-                rows = [{} if low is None else {j: low + x for j, x in ends.items()} for low in least]
-                break
-            new: list[dict[int, int]] = []
-            for r in rows:
-                inside = {j - at: x for j, x in r.items() if j < to}
+            least = [min(r.values()) if r else 0 for r in rows]
+            apart = [tuple(sorted((j, w - low) for j, w in r.items())) for r, low in zip(rows, least, strict=True)]
+            alike = set(filter(None, apart))
+            to, tried = n if len(alike) == 1 else min(n, at + tried), 2 * tried
+            after = {}
+            for r in alike:  # one search for all rows that differ by a constant
+                inside = {j - at: x for j, x in r if j < to}
                 w = search(at, to, inside) if inside else []
                 out = {at + j: x for j, x in enumerate(w) if x is not None and at + j >= to}
-                for j, x in r.items():  # states that reach beyond this stretch
+                for j, x in r:  # states that reach beyond this stretch
                     if j >= to and (j not in out or x > out[j]):
                         out[j] = x
-                new.append(out)
-            rows, at = new, to
+                after[r] = out
+            rows = [{j: low + x for j, x in after[r].items()} if r else {} for r, low in zip(apart, least, strict=True)]
+            at = to
         matrix = [[NONE] * size for _ in range(size)]
         for i, r in enumerate(rows):
             for j, w in r.items():
