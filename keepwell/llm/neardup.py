@@ -23,6 +23,8 @@ the number of distinct fingerprints.  Those of thousands of near copies under
 one key are linked by a spanning forest, never by all pairs; a key with more
 fingerprints than ``BLOCK`` is cut into blocks as it streams by, and the pairs
 of its blocks are compared elsewhere, so no task holds more than two blocks.
+Rows of keys are counted by hash bucket beforehand; those of a bucket far above
+the others are dealt to several tasks, whose blocks are compared likewise.
 """
 
 from __future__ import annotations
@@ -42,6 +44,12 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b110001110101
 #: Rows of one key that are compared at once; a key with more is dealt out in blocks, with the same result.
 BLOCK = 8192
+#: Buckets in which rows of keys are counted, and how far above the mean one is dealt to several tasks.
+BUCKETS, HOT = 1 << 16, 4
+#: Bits of a key; what is above them says which deal of a hot bucket a row is in (from 1 on).
+KEY_BITS = 44
+#: Documents to leave out up to which their ids are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 # --- fingerprints ---------------------------------------------------------------------------------
@@ -222,8 +230,11 @@ def meet(batches):
                 edges = starts - at
                 low, high = np.minimum.reduceat(fps[at:last], edges), np.maximum.reduceat(fps[at:last], edges)
                 sides = np.add.reduceat(side[at:last].astype(np.int64), edges)
-                for i in np.flatnonzero((low != high) & (sides > 0) & (sides < ends - starts)):
+                dealt = key[starts] >> KEY_BITS > 0  # others of the same key are elsewhere
+                for i in np.flatnonzero((low != high) & (sides > 0) & (sides < ends - starts) & ~dealt):
                     links += forest(fps[starts[i] : ends[i]])
+                for i in np.flatnonzero(dealt):
+                    yield block(fps[starts[i] : ends[i]], int(key[starts[i]]))
             if links:
                 yield rows_found(list(dict.fromkeys(links)))
         key, side, fps = key[last:], side[last:], fps[last:]
@@ -237,14 +248,50 @@ def chained(batches):
     yield None
 
 
-def spread(batches):
+def scattered(x: np.ndarray, n: int) -> np.ndarray:
+    """A number below ``n`` (at most 2^32) by the high bits of a product."""
+    return ((x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+
+
+def parts_of(batches):
     for b in batches:
         fps = b.column("fp").to_numpy().view(np.uint64)
         for i in range(0, len(fps), 2_000):
-            part = fps[i : i + 2_000]
+            yield fps[i : i + 2_000]
+
+
+def loads(batches):
+    """Rows (bucket, n) of a partition's keys."""
+    total = np.zeros(BUCKETS, np.int64)
+    for part in parts_of(batches):
+        total += np.bincount(scattered(keys(part)[2], BUCKETS).astype(np.int64), minlength=BUCKETS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+
+
+def deals(distinct: DataFrame) -> np.ndarray:
+    """To how many tasks the rows of each bucket go: one, but for buckets far above the mean.  BUCKETS numbers reach the driver."""
+    rows = map_batches(distinct.select("fp"), loads, "bucket int, n bigint", rows=10_000).groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    n = np.zeros(BUCKETS, np.int64)
+    for r in rows:
+        n[r["bucket"]] = r["n"]
+    usual = max(HOT * BLOCK, int(HOT * n.mean()))
+    return np.minimum(np.where(n > usual, -(-n // usual), 1), 1 << 18).astype(np.int64)
+
+
+def spread(n_deals):
+    def run(batches):
+        n = n_deals()
+        for part in parts_of(batches):
             row, side, key = keys(part)
+            to = n[scattered(key, BUCKETS).astype(np.int64)]
+            if (to > 1).any():
+                own = (scattered(part, 1 << 32)[row] % to.astype(np.uint64)).astype(np.int64) + 1
+                key = key | np.where(to > 1, own, 0) << KEY_BITS
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), pa.array(part[row].view(np.int64))], ["key", "side", "fp"])
 
+    return run
+
 
 def compare(batches):
     for b in batches:
@@ -254,14 +301,23 @@ def compare(batches):
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that connect all that are within 3 bits of each other."""
-    met = map_batches(distinct.select("fp"), spread, "key bigint, side tinyint, fp bigint", rows=10_000)
+    shared = distinct.sparkSession.sparkContext.broadcast(deals(distinct))
+    met = map_batches(distinct.select("fp"), spread(lambda: shared.value), "key bigint, side tinyint, fp bigint", rows=10_000)
     found = stored(map_batches(met.repartition("key").sortWithinPartitions("key"), meet, FOUND, rows=50_000))
-    blocks = found.filter(F.col("members").isNotNull()).select("key", "part", "members")
-    x, y = blocks.select("key", F.col("part").alias("p"), F.col("members").alias("x")), blocks.select("key", F.col("part").alias("q"), F.col("members").alias("y"))
-    across = map_batches(x.join(y, "key").filter("p < q").select("x", "y"), compare, FOUND, rows=16)
+    across = map_batches(block_pairs(found), compare, FOUND, rows=16)
     return found.filter(F.col("a").isNotNull()).select("a", "b").union(across.select("a", "b")).distinct()
 
 
+def block_pairs(found: DataFrame) -> DataFrame:
+    """(x, y): the members of each two blocks of a key.  Pairs are made of names alone; members are joined by key and block, never by key."""
+    low = (1 << KEY_BITS) - 1
+    blocks = found.filter(F.col("members").isNotNull()).select(F.col("key").bitwiseAND(F.lit(low)).alias("key"), F.struct(F.shiftright("key", KEY_BITS).alias("deal"), "part").alias("p"), "members")
+    names = blocks.select("key", "p")
+    pairs = names.join(names.select("key", F.col("p").alias("q")), "key").filter("p < q")
+    one = pairs.join(blocks.select("key", "p", F.col("members").alias("x")), ["key", "p"])
+    return one.join(blocks.select("key", F.col("p").alias("q"), F.col("members").alias("y")), ["key", "q"]).select("x", "y")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for each vertex of ``edges`` (a, b): the smallest vertex that it reaches.
 
@@ -307,10 +363,16 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     stays.  Rows without a doc_id can't be named as copies; they all stay.
     """
     names = ["text", "lang", "source", "n_chars"]
-    ids = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*names)).alias("row")).select("doc_id", *[F.col(f"row.{c}").alias(c) for c in names])
-    return named.unionByName(docs.select("doc_id", *names).filter("doc_id is null"))
+    docs = docs.select("doc_id", *names)
+    # Most documents stay as they are, where they are: only the others' ids are looked for.
+    ids = near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    others = stored(ids.filter("not stays or n > 1").select("doc_id", "stays"))
+    few = F.broadcast(others) if others.count() <= BROADCAST_IDS else others
+    several = few.filter("stays").select("doc_id")
+    one = docs.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*names)).alias("row")).select("doc_id", *[F.col(f"row.{c}").alias(c) for c in names])
+    return docs.join(few.select("doc_id"), "doc_id", "left_anti").select("doc_id", *names).unionByName(one)
 
 
 def op5(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with the fingerprint as 16 hexadecimal digits; nulls, ties, repeated rows and empty tables as stated there."""
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -127,3 +127,36 @@ def test_one_of_each_component_stays(odd, none):
     kept = nd.deduplicated(odd).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 2, 5, 6, 8, 9] and sum(r.doc_id is None for r in kept) == 2
     assert nd.deduplicated(none).count() == 0
+
+
+def test_hot_buckets_are_dealt_and_lose_no_link(spark, monkeypatch):
+    """Near copies by the hundred under a few keys, dealt to many tasks in small blocks."""
+    rng = np.random.default_rng(4)
+    centre = rng.integers(0, 2**64, 2, dtype=np.uint64)
+    fps = np.unique(np.concatenate([*[[c ^ (np.uint64(1) << np.uint64(a)) ^ (np.uint64(1) << np.uint64(b)) for a in range(64) for b in range(0, 64, 5)] for c in centre], rng.integers(0, 2**64, 300, dtype=np.uint64)]).astype(np.uint64))
+    distinct = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").repartition(3)
+    monkeypatch.setattr(nd, "BLOCK", 16)
+    n = nd.deals(distinct)
+    assert n.max() > 1 and (n == 1).sum() > nd.BUCKETS // 2
+    found = [(r.a, r.b) for r in nd.links(distinct).collect()]
+    at = {int(v): i for i, v in enumerate(fps.view(np.int64))}
+    parent = list(range(len(fps)))
+
+    def root(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, c in found:
+        a, c = root(at[a]), root(at[c])
+        parent[max(a, c)] = min(a, c)
+    assert [root(i) for i in range(len(fps))] == brute(fps)
+
+
+def test_documents_that_stay_are_not_shuffled(make, spark, monkeypatch):
+    rows = [(i, f"text number {i // 2} of many that differ " * 3, "en", "a", 5) for i in range(40)] + [(7, "zz another row of seven", "en", "a", 1), (None, "no id", "en", "a", 1)]
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr(nd, "BROADCAST_IDS", limit)
+        kept = nd.deduplicated(make(rows))
+        ids = sorted((r.doc_id for r in kept.collect() if r.doc_id is not None))
+        assert set(range(0, 40, 2)) <= set(ids) and len(ids) == len(set(ids)) and any(r.doc_id is None for r in kept.collect())
