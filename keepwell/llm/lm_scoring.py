@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from keepwell.llm.common import fold_of, map_batches, stored
+from keepwell.llm.common import fold, map_batches, stored
 
 DEPTH = 4
 CONTEXTS = 16_384
@@ -530,12 +530,11 @@ def blocks(id_type: pa.DataType):
         fresh = lambda: ({}, [], {"doc_id": [], "held_out": [], "n_tokens": [], "text": [], "n_bytes": []}, [], [], 0, 0)
         words, learned, meta, which, times, total, size = fresh()
         for b in batches:
-            for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for doc_id, t, held in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "held_out")], strict=True):
                 raw = (t or "").encode()
                 tokens = raw.lower().split()
                 tokens.append(END)
                 own = np.array([words.setdefault(w, len(words)) for w in tokens], np.uint32)
-                held = fold_of(doc_id, FOLDS) == HELD_OUT
                 distinct, n = np.unique(own, return_counts=True)
                 learned += [0] * (len(words) - len(learned))
                 if not held:
@@ -633,7 +632,7 @@ def score(docs: DataFrame) -> DataFrame:
     columns are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 

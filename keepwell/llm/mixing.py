@@ -8,7 +8,8 @@ in ascending order, whose words fit the total budget.
 
 The total order is never formed.  With targets ``min(cap * size, weight * V)``,
 everything that finishes by the water level ``V`` fits the budget, so only the
-few finish times just above ``V`` that may still fit are sorted globally.
+few finish times just above ``V`` that may still fit are sorted globally: within
+ranges of them, each with the sum of those before it.
 Cumulative sums run over (source, hash bucket) groups: a source that holds a
 third of all rows is spread over 4096 of them.
 """
@@ -24,6 +25,8 @@ from keepwell.llm.common import WORD, stored
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BUCKET_DIGITS = 3
+#: Ranges of finish times in which the margin above the level is sorted.
+RANGES = 1024
 #: Sources whose cutoffs are broadcast (100 bytes each); with more the join shuffles.
 BROADCAST_SOURCES = 10_000
 
@@ -36,6 +39,15 @@ def shuffle_key() -> Column:
     return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
 
 
+def tie() -> Column:
+    """Orders rows of one id and size by their texts."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+#: The order of a source's documents.
+ORDER = ("key", "doc_id", "size", "tie")
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(source, source_size, weight, budget, level, target) from rows of (source, size).
 
@@ -66,7 +78,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     rows next to each other in the order, so which of them takes a last copy is
     immaterial.  An empty table gives an empty result.
     """
-    base = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffle_key().alias("key")))
+    base = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffle_key().alias("key"), tie().alias("tie")))
     base = base.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
 
     buckets = base.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
@@ -75,29 +87,36 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     b = buckets.withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0))).select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), "before")
     t = targets.select(F.col("source").alias("t_source"), "source_size", "weight", "budget", "level", "target")
     known = b.join(t, F.col("b_source").eqNullSafe(F.col("t_source")))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     passes = F.array(*[F.lit(e) for e in range(cap)])
     rows = (
         base.join(known, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
         .withColumn("cum", F.col("before") + F.sum("size").over(inside))
         .withColumn("n", F.when(F.col("size") > 0, F.size(F.filter(passes, lambda e: (e * F.col("source_size") + F.col("cum")) / F.col("weight") <= F.col("level")))).otherwise(0))
-        .select("doc_id", "source", "size", "key", "cum", "source_size", "weight", "budget", "level", "target", "n")
+        .select("doc_id", "source", "size", "key", "tie", "cum", "source_size", "weight", "budget", "level", "target", "n")
     )
     rows = stored(rows)
 
-    left = rows.agg(F.max("budget").alias("budget"), F.sum(F.col("size") * F.col("n")).alias("used")).first()
+    left = rows.agg(F.max("budget").alias("budget"), F.max("level").alias("level"), F.sum(F.col("size") * F.col("n")).alias("used")).first()
     rest = (left["budget"] or 0) - (left["used"] or 0)
     finish = F.col("pass") * F.col("source_size") + F.col("cum")
-    in_order = Window.orderBy("vft", F.col("source").asc_nulls_last(), "finish").rowsBetween(Window.unboundedPreceding, 0)
-    margin = (
+    # What is taken finishes within the rest above what its own source could have by the level.
+    above = (
         rows.filter(F.col("size") > 0)
         .withColumn("pass", F.explode(passes))
         .filter(F.col("pass") >= F.col("n"))
         .withColumn("finish", finish)
-        # What is taken finishes within the rest above what its own source could have by the level.
         .filter(F.col("finish") <= F.col("weight") * F.col("level") + F.lit(rest + 1))
         .withColumn("vft", F.col("finish") / F.col("weight"))
-        .withColumn("total", F.sum("size").over(in_order))
+        .withColumn("range", F.floor((F.col("vft") - F.lit(left["level"] or 0.0)) * F.lit(min(weights) * RANGES / (rest + 1))).cast("int"))
+    )
+    ranges = above.groupBy("range").agg(F.sum("size").alias("size"))
+    ahead = ranges.select(F.col("range").alias("r"), F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    in_order = Window.partitionBy("range").orderBy("vft", F.col("source").asc_nulls_last(), "finish").rowsBetween(Window.unboundedPreceding, 0)
+    margin = (
+        above.join(F.broadcast(ahead), F.col("range") == F.col("r"))  # at most RANGES + 1 rows
+        .filter(F.col("ahead") <= rest)
+        .withColumn("total", F.col("ahead") + F.sum("size").over(in_order))
         .filter(F.col("total") <= rest)
         .groupBy(F.col("source").alias("m_source"), F.col("cum").alias("m_cum"))
         .agg(F.count(F.lit(1)).alias("more"))
@@ -105,7 +124,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     return (
         rows.join(margin, F.col("source").eqNullSafe(F.col("m_source")) & (F.col("cum") == F.col("m_cum")) & (F.col("size") > 0), "left")
         .withColumn("copies", (F.col("n") + F.coalesce(F.col("more"), F.lit(0))).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "key")
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "key", "tie")
     )
 
 
@@ -114,19 +133,26 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     In its order, a source's documents are all taken some number of times, and
     up to a cutoff once more.  So a row per source says what to do with a text,
-    and texts aren't shuffled.  Rows that tie at a cutoff (one doc_id and size)
-    are taken alike.
+    and texts aren't shuffled.  Only the repeats of the document at a cutoff are
+    counted: as many of them are taken once more as the mix says.
     """
     names = ["doc_id", "text", "lang", "source", "n_chars"]
-    order = ("key", "doc_id", "size")
-    cuts = mix(docs).filter("size > 0").groupBy("source").agg(F.min("copies").alias("low"), F.max(F.struct("copies", *order)).alias("last"))
-    cuts = stored(cuts.select(F.col("source").alias("cut_source"), "low", F.col("last.copies").alias("high"), F.struct(*[F.col(f"last.{c}") for c in order]).alias("cutoff")))
+    alike = mix(docs).filter("size > 0").groupBy("source", "copies", *ORDER).agg(F.count(F.lit(1)).alias("n"))
+    cuts = alike.groupBy("source").agg(F.min("copies").alias("low"), F.max(F.struct("copies", *ORDER, "n")).alias("last"))
+    cuts = stored(cuts.select(F.col("source").alias("cut_source"), "low", F.col("last.copies").alias("high"), F.struct(*[F.col(f"last.{c}") for c in ORDER]).alias("cutoff"), F.col("last.n").alias("at_cutoff")))
     few = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
-    sized = docs.select(*names, n_words(F.col("text")).alias("size"), shuffle_key().alias("key")).filter("size > 0")
-    more = (F.col("high") > F.col("low")) & (F.struct(*order) <= F.col("cutoff"))
-    copies = (F.col("low") + F.when(more, F.col("high") - F.col("low")).otherwise(0)).cast("int")
-    joined = sized.join(few, F.col("source").eqNullSafe(F.col("cut_source"))).withColumn("copies", copies).filter("copies > 0")
-    return joined.select(*names, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(*names)
+    sized = docs.select(*names, n_words(F.col("text")).alias("size"), shuffle_key().alias("key"), tie().alias("tie")).filter("size > 0")
+    given = sized.join(few, F.col("source").eqNullSafe(F.col("cut_source")))
+    place = F.struct(*ORDER)
+    last = (F.col("high") > F.col("low")) & (place == F.col("cutoff"))
+    times = lambda df, n: df.filter(n > 0).select(*names, F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("copy")).select(*names)
+    plain = times(given.filter(~last), F.when(place <= F.col("cutoff"), F.col("high")).otherwise(F.col("low")))
+    # Equal rows of the last document are counted, whatever their number; variants of it take their turns.
+    repeats = given.filter(last).groupBy(*names, "low", "high", "at_cutoff").agg(F.count(F.lit(1)).alias("m"))
+    turn = Window.partitionBy("source").orderBy("text", "lang", "n_chars").rowsBetween(Window.unboundedPreceding, -1)
+    more = F.least(F.col("m"), F.greatest(F.lit(0), F.col("at_cutoff") - F.coalesce(F.sum("m").over(turn), F.lit(0))))
+    repeats = repeats.withColumn("total", F.col("low") * F.col("m") + (F.col("high") - F.col("low")) * more)
+    return plain.unionByName(times(repeats, F.col("total")))
 
 
 ORACLE = r"""
@@ -163,4 +189,5 @@ FROM cumulated c LEFT JOIN taken t ON c.source IS NOT DISTINCT FROM t.source AND
 
 
 def op9(docs: DataFrame) -> DataFrame:
+    """``mix`` with the contract's columns; nulls, ties, repeated rows and empty tables as stated there."""
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")

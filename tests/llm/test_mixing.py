@@ -72,3 +72,23 @@ def test_odd_rows(odd):
 
 def test_plans_have_no_python(odd):
     assert "Python" not in mixing.op9(odd)._jdf.queryExecution().toString() and "Arrow" not in mixing.mixed(odd)._jdf.queryExecution().toString()
+
+
+def test_repeats_at_a_cutoff_are_counted(make):
+    """Rows of one id: repeats, variants and other texts, as many of each as the operator takes."""
+    rows = [(5, "a b c", "en", "s", 1)] * 7 + [(5, "a b c", "de", "s", 1)] * 4 + [(5, "x y z", "en", "s", 1)] * 3 + [(None, "p q", "en", "t", i % 2) for i in range(9)] + [(i, "w " * 5, "en", "u", 1) for i in range(20, 26)]
+    for some in (rows, rows[:14], rows[14:23], rows[7:25]):
+        docs = make(some)
+        want = {}
+        for r in mixing.mix(docs).collect():
+            want[(r.doc_id, r.source)] = want.get((r.doc_id, r.source), 0) + r.copies
+        got = {}
+        for r in mixing.mixed(docs).collect():
+            got[(r.doc_id, r.source)] = got.get((r.doc_id, r.source), 0) + 1
+        assert got == {k: v for k, v in want.items() if v}
+
+
+def test_many_sources_share_the_margin(make):
+    rows = [(i, "w " * (1 + i * 7 % 11), f"host-{i % 150}") for i in range(600)]
+    got = mixing.op9(make([(i, t, "en", s) for i, t, s in rows])).collect()
+    assert sorted((str(r.doc_id), r["size"], r.taken) for r in got) == sorted((str(i), z, t) for i, z, t in brute(rows)[0])
