@@ -13,6 +13,15 @@ def by_id(df: DataFrame, id_value, column: str = "id") -> DataFrame:
     return df.filter(F.col(column) == id_value)
 
 
+def all_replicas(replicas: DataFrame) -> DataFrame:
+    return replicas.orderBy("replica_id")
+
+
+def all_journal(journal: DataFrame) -> DataFrame:
+    """Every journal, open or not, oldest first."""
+    return journal.orderBy("created_at_ms", "attempt_id")
+
+
 def replicas_for(replicas: DataFrame, object_id) -> DataFrame:
     """All replicas of an object, invalid ones too."""
     return replicas.filter(F.col("object_id") == object_id).orderBy("replica_id")

@@ -735,6 +735,9 @@ def decisions_for(d):
     return audit.decisions_for(made, 17).select("object_id", "score")
 
 
+import keepwell.plans.changes  # noqa: E402, F401  (registers its queries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, folder, f=f: f(Domain(spark, folder))) for name, f in QUERIES.items()}
 

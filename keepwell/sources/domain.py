@@ -7,6 +7,8 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keepwell.sources.scenarios import SCENARIOS
+
 STAR = ("orders", "lineitem", "events", "documents")
 
 # `{sha}` and `{ms}` are the two functions whose names differ between engines.
@@ -100,7 +102,7 @@ DOMAIN: dict[str, str] = {
     "keys": """
         SELECT CASE o_orderkey % 12 WHEN 0 THEN 'dedup-abc' WHEN 1 THEN 'UPPER' WHEN 2 THEN 'a/b/c' WHEN 3 THEN 'con' WHEN 4 THEN 'com1.txt' WHEN 5 THEN 'x.' WHEN 6 THEN '.tmp-x' WHEN 7 THEN 'a//b'
           WHEN 8 THEN 'a:b' WHEN 9 THEN 'ok name.txt' WHEN 10 THEN '..' ELSE '/abs' END AS key, o_orderkey AS id FROM orders""",
-}
+} | SCENARIOS
 
 
 def needed(sql: str) -> list[str]:

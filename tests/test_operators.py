@@ -272,3 +272,45 @@ def test_defaults_and_folds(spark):
     touches = spark.createDataFrame([("1", 9), ("1", 8)], "object_id string, ts_ms long")
     r = reclaim.fold_access(o, touches).first()
     assert (r.access_count, r.last_access_ms) == (2, 9)
+
+
+def test_compressed_objects_come_back_whole(spark):
+    """Compressed, archived, restored: the bytes and sizes are the original ones, and a broken blob isn't taken."""
+    import hashlib
+
+    from keepwell.functions import codec
+    from keepwell.operators import transactions as tx
+
+    raw = b"row-000001;" * 500
+    packed = codec.compressed(raw)
+    h, z = hashlib.sha256(raw).hexdigest(), hashlib.sha256(packed).hexdigest()
+    objects = spark.createDataFrame([(i, 1, "HOT", h, 100, None, 1, "{}") for i in (1, 2)], "id long, generation long, lifecycle_state string, content_hash string, physical_size long, compressed_size long, replication_count long, app_metadata string")
+    replicas = spark.createDataFrame([(f"r{i}", i, 1, "memory", f"dedup-{h}", "HOT", len(raw), h, 1, True) for i in (1, 2)], "replica_id string, object_id long, generation long, backend string, key string, kind string, size long, content_hash string, created_at_ms long, valid boolean")
+    dedup = spark.createDataFrame([(h, "memory", f"dedup-{h}", 2, len(raw))], "content_hash string, backend string, storage_key string, ref_count long, payload_size long")
+    what = spark.createDataFrame([(1, "zstd", len(raw), len(packed), z)], "object_id long, codec string, original_size long, size long, content_hash string")
+    done = tx.compressed(what, objects, replicas, dedup, 5)
+    assert {(r.id, r.lifecycle_state, r.physical_size) for r in done.objects.collect()} == {(1, "COMPRESSED", len(packed)), (2, "HOT", 100)}
+    assert {(r.content_hash, r.ref_count) for r in done.dedup.collect()} == {(h, 1), (z, 1)}
+
+    cold = done.objects.withColumn("lifecycle_state", F.lit("ARCHIVED"))
+    archives = spark.createDataFrame([("a1", 1, 1, "archive", "1/1", len(packed), z, 1, True), ("a2", 2, 1, "archive", "2/1", 9, h, 1, True)], "archive_id string, object_id long, generation long, backend string, key string, size long, content_hash string, created_at_ms long, valid boolean")
+    payloads = spark.createDataFrame([("archive", "1/1", bytearray(packed)), ("archive", "2/1", bytearray(b"not it"))], "backend string, key string, payload binary")
+    back = tx.restored(cold, archives, done.replicas.filter("object_id = 0"), done.dedup, payloads, "memory", 9)
+    assert {(r.object_id, r.error) for r in back.outcome.collect()} == {(1, None), (2, "INTEGRITY_FAILURE")}
+    one = {r.id: r for r in back.objects.collect()}[1]
+    assert (one.lifecycle_state, one.physical_size, one.compressed_size, one.replication_count) == ("WARM", len(raw), None, 1)
+    assert [(r.content_hash, r.key) for r in back.replicas.collect()] == [(h, f"dedup-{h}")] and {r.ref_count for r in back.dedup.filter(F.col("content_hash") == h).collect()} == {2}
+
+
+def test_a_shared_payload_goes_with_its_last_owner(spark):
+    from keepwell.operators import transactions as tx
+
+    objects = spark.createDataFrame([(i, 1, "HOT") for i in range(10)], "id long, generation long, lifecycle_state string")
+    replicas = spark.createDataFrame([(f"r{i}", i, "memory", "k", "h") for i in range(10)], "replica_id string, object_id long, backend string, key string, content_hash string")
+    archives = spark.createDataFrame([(f"a{i}", i, i % 2 == 0) for i in range(10)], "archive_id string, object_id long, valid boolean")
+    dedup = spark.createDataFrame([("h", "memory", "k", 10, 5)], "content_hash string, backend string, storage_key string, ref_count long, payload_size long")
+    for n in (9, 10):
+        simulated = spark.createDataFrame([(i, None, "RECLAIMED") for i in range(n)], "id long, error string, final_state string")
+        x = tx.reclaimed(simulated, objects, replicas, archives, dedup, 1)
+        assert [r.deletable for r in x.payloads.collect()] == [n == 10] and [r.ref_count for r in x.dedup.collect()] == [1] * (n == 9)
+        assert x.replicas.count() == 10 - n and x.archives.count() == 10 - (n + 1) // 2 and x.audit.count() == n
