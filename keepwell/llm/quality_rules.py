@@ -6,9 +6,9 @@ vectors' centre and scatter is that of the ``SHARE`` of them whose covariance
 has the least determinant.  It is sought from several starts at once (medians
 and median deviations, all vectors, single vectors drawn by hash) by
 concentration steps: each takes the nearest share by Mahalanobis distance and
-computes its mean and covariance.  Steps go on until no determinant falls any
-more, and of the starts the one with the least is taken.  Texts whose squared
-distance exceeds ``CUTOFF`` are rejected.
+computes its mean and covariance.  A start takes steps until its determinant
+doesn't fall any more, and of a group's starts the one with the least is taken.
+Texts whose squared distance exceeds ``CUTOFF`` are rejected.
 
 A step is one pass over the stored vectors: counts, sums and products are
 aggregated by group, start and bin of the distance, and the share is cut from
@@ -56,6 +56,8 @@ FLOOR = (0.03, 0.1, 0.1, 0.03, 0.03, 0.03)
 FEW_LINES, FEW_WORDS = 20, 200
 #: Median of the chi-square distribution with D degrees of freedom, and the distance beyond which a text is rejected: its 0.999 quantile.
 MEDIAN, CUTOFF = 5.348, 22.46
+#: Groups for each task that makes estimates of sums; a Python worker costs more than the few rows do.
+TOGETHER = 1_000
 #: Groups whose estimates are broadcast (300 bytes for each start); with more the join shuffles.
 BROADCAST_GROUPS = 10_000
 
@@ -221,7 +223,7 @@ def concentrated(rows: DataFrame, now: DataFrame, n: int) -> DataFrame:
     left = f"ceil(sum(n) over (partition by grp, start) * {SHARE}D) - (sum(n) over (partition by grp, start order by bin) - n)"
     taken = sums.selectExpr("*", f"least(1D, ({left}) / n) as part").filter("part > 0")
     share = taken.groupBy("grp", "start").agg(F.expr("sum(part * n) as n"), F.expr("first(before) as before"), *[F.expr(f"sum(part * {c}) as {c}") for c in SUM_NAMES])
-    return stored(map_batches(share, fit, FIT))
+    return stored(map_batches(share.repartition(1 + n // TOGETHER), fit, FIT))
 
 
 def estimates(vectors: DataFrame, pools: tuple[DataFrame, int] | None = None) -> tuple[DataFrame, int]:
@@ -229,13 +231,15 @@ def estimates(vectors: DataFrame, pools: tuple[DataFrame, int] | None = None) ->
     groups, parts, n = judges(vectors) if pools is None else (pools[0], *pools)
     rows = beside(vectors.select(F.col("grp").alias("raw"), *VECTOR).withColumn("grp", F.col("raw")), parts.select(F.col("raw").alias("grp"), F.col("grp").alias("part")), n)
     rows = stored(rows.select(F.col("part").alias("grp"), *VECTOR))
-    now = starts(rows, n)
+    now, ended, falls = starts(rows, n), None, F.col("before") - F.col("logdet") >= SETTLED
     for _ in range(STEPS):
         now = concentrated(rows, now, n)
-        fall = now.agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
-        if fall is None or fall < SETTLED:
+        still = now.filter(falls)
+        if still.isEmpty():
             break
-    least = now.groupBy("grp").agg(F.min_by(F.struct("start", *[f.name for f in now.schema if f.name[0] in "cp"]), F.struct("logdet", "start")).alias("e"))
+        stay = now.filter(~falls)
+        now, ended = still, ended.unionByName(stay) if ended else stay
+    least = (ended.unionByName(now) if ended else now).groupBy("grp").agg(F.min_by(F.struct("start", *[f.name for f in now.schema if f.name[0] in "cp"]), F.struct("logdet", "start")).alias("e"))
     best = stored(least.select("grp", "e.*"))
     # Half of the vectors are nearer than the median of the chi-square distribution.
     half = middle(beside(rows, best, n).groupBy("grp", F.expr(f"{DISTANCE_BIN} as bin")).agg(F.expr("count(1) as n")), ["grp"], "bin")
